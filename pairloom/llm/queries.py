@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairloom.llm import mix, terms, tokens, topn
+from pairloom.llm import encoding, mix, sentences, terms, tokens, topn
 from pairloom.session import table
 
 
@@ -15,6 +15,16 @@ def texts(spark, d):
     return a.unionByName(b)
 
 
+def p2_restored(spark, d):
+    """Every affected row with its text as far as it can be restored."""
+    dicts = encoding.fit(table(spark, d, "documents"))
+    return encoding.restored(texts(spark, d), ["table_name", "row_num"], "text", dicts)
+
+
+def p2_found(spark, d):
+    return p2_restored(spark, d).select("table_name", "row_num")
+
+
 def p6_found(spark, d):
     return terms.top_terms(texts(spark, d), weight="tf").select("table_name", "row_num", "term")
 
@@ -49,7 +59,11 @@ def p9_shares(spark, d):
     return mix.shares(*mix.mixed(table(spark, d, "documents"), table(spark, d, "source_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_graph_terms, p7_found, p8_ids, p8_roundtrip, p9_mix, p9_shares)}
+def p10_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p10_found, p6_found, p6_graph_terms, p7_found, p8_ids, p8_roundtrip, p9_mix, p9_shares)}
 
 ORACLE = {
     "p6_found": r"""
