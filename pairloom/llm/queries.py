@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairloom.llm import encoding, markup, mix, sentences, terms, tokens, topn
+from pairloom.llm import encoding, markup, mix, pii, sentences, terms, tokens, topn
 from pairloom.session import table
 
 
@@ -25,6 +25,15 @@ def p2_found(spark, d):
     return p2_restored(spark, d).select("table_name", "row_num")
 
 
+def p3_found(spark, d):
+    found = pii.items(table(spark, d, "resume_clean"), "row_num", "Resume_str")
+    return found.select("row_num", "kind", F.col("value").alias("found_value")).distinct()
+
+
+def p3_redacted(spark, d):
+    return pii.redacted(table(spark, d, "resume_clean"), "row_num", "Resume_str")
+
+
 def p4_found(spark, d):
     return markup.found(texts(spark, d), ["table_name", "row_num"], "text")
 
@@ -71,7 +80,7 @@ def p10_found(spark, d):
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p4_found, p4_clean, p10_found, p6_found, p6_graph_terms, p7_found, p8_ids, p8_roundtrip, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_redacted, p4_found, p4_clean, p10_found, p6_found, p6_graph_terms, p7_found, p8_ids, p8_roundtrip, p9_mix, p9_shares)}
 
 ORACLE = {
     "p6_found": r"""
