@@ -1 +1,13 @@
+"""Column expressions of the engine in one place; all run in the JVM unless named otherwise."""
 
+from pairloom.operators.evaluate import label_value
+from pairloom.operators.fairness import group_value, wilson
+from pairloom.operators.gnn import log_sigmoid
+from pairloom.operators.graph import seeded
+from pairloom.operators.rank import parse_rank, parse_score
+from pairloom.operators.refs import clean_key
+from pairloom.operators.report import number_in_text
+from pairloom.operators.text import is_bad_id, normalise_for_skills, strip_html_parser, strip_html_simple
+from pairloom.operators.vectors import dot, normalised
+
+__all__ = ["clean_key", "dot", "group_value", "is_bad_id", "label_value", "log_sigmoid", "normalise_for_skills", "normalised", "number_in_text", "parse_rank", "parse_score", "seeded", "strip_html_parser", "strip_html_simple", "wilson"]
