@@ -61,8 +61,6 @@ COLUMNS = ["start", "end", "what", "value", "sig", "g", "f", "left1", "left2", "
 def context(text: str, a: int, b: int) -> tuple[str, str, str]:
     """The last word and the last two words before a span, and the two after, lower-case, with digits as 9."""
     left = [DIGIT.sub("9", w).lower() for w in TOKEN.findall(text[max(0, a - 60) : a])[-2:]]
-    if a > 0 and left and not text[a - 1].isspace():
-        pass
     right = [DIGIT.sub("9", w).lower() for w in TOKEN.findall(text[b : b + 40])[:2]]
     return (left[-1] if left else "^")[-30:], " ".join(left)[-50:] or "^", " ".join(right)[:40]
 
@@ -111,7 +109,8 @@ def spans(texts: DataFrame, key: str, text: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(k, r, *c) for k, r, t in pdf[["k", "_rid", "t"]].itertuples(index=False) for c in candidates(t)], columns=[key, "_rid", *COLUMNS])
 
-    rows = texts.select(F.col(key).alias("k"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("_rid")).where(F.length("t") > 0)
+    rid = F.col("_rid") if "_rid" in texts.columns else F.monotonically_increasing_id()
+    rows = texts.select(F.col(key).alias("k"), F.col(text).alias("t"), rid.alias("_rid")).where(F.length("t") > 0)
     return rows.mapInPandas(run, f"`{key}` {kind}, _rid long, start int, end int, what string, value string, sig string, g string, f string, left1 string, left2 string, right2 string")
 
 
@@ -229,8 +228,8 @@ def items(texts: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> DataFr
 
 def redacted(texts: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> DataFrame:
     """(key, text, redacted): every text with typed placeholders such as [EMAIL] for its items, all else unchanged; null stays null."""
-    numbered = texts.select(F.col(key), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_rid"))
-    per = items(texts, key, text, rounds).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("xs"))
+    numbered = cut(texts.select(F.col(key), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_rid")))
+    per = items(numbered, key, "_text", rounds).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("xs"))
     step = lambda acc, x: F.struct(F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.when(x["start"] >= acc["at"], F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
     done = F.aggregate(F.coalesce("xs", F.array().cast("array<struct<start:int,end:int,kind:string>>")), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
     return numbered.join(per, "_rid", "left").select(F.col(key), F.when(F.col("_text").isNotNull(), done).alias("redacted"))
