@@ -30,7 +30,7 @@ def int_index(ids: DataFrame, col: str, parts: int = 64) -> DataFrame:
 def skill_graph(resume_skills: DataFrame, job_skills: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, node_type) and undirected edges (src, dst) of (id, skills) tables; entities without skills stay as nodes."""
     def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(F.concat(F.lit(prefix), "id").alias("src"), F.concat(F.lit("skill_"), F.explode("skills")).alias("dst"))
+        return df.select("id", F.explode("skills").alias("s")).select(F.concat(F.lit(prefix), "id").alias("src"), F.concat(F.lit("skill_"), "s").alias("dst"))
 
     edges = side(resume_skills, "resume_").unionByName(side(job_skills, "job_")).distinct()
     nodes = resume_skills.select(F.concat(F.lit("resume_"), "id").alias("node"), F.lit("resume").alias("node_type")).unionByName(job_skills.select(F.concat(F.lit("job_"), "id").alias("node"), F.lit("job").alias("node_type"))).unionByName(edges.select(F.col("dst").alias("node"), F.lit("skill").alias("node_type"))).distinct()

@@ -1,6 +1,6 @@
 """All core queries and their SQL."""
 
-from pairloom.plans import prepare
+from pairloom.plans import matching, matching_sql, prepare
 
-QUERIES = {**prepare.QUERIES}
-ORACLE = {**prepare.ORACLE}
+QUERIES = {**matching.QUERIES, **prepare.QUERIES}
+ORACLE = {**matching_sql.ORACLE, **prepare.ORACLE}
