@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pairloom.session import cut, small_side
 
-ROUNDS = 3
+ROUNDS = 4
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Seed words before numbers.
@@ -151,8 +151,8 @@ def numbers_found(numbers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return j.withColumns({"ph": score("phone"), "id": score("ident")}).where("ph > 0.5 OR id > 0.5").withColumn("kind", F.when(F.col("ph") >= F.col("id"), "phone").otherwise("id_number")).select("_rid", "start", "end", "kind", "value")
 
 
-def name_model(spans_: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Given tokens, family tokens and patterns (side, pattern, score), from e-mail seeds by rounds over the graph."""
+def name_model(spans_: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Given tokens, family tokens, patterns (side, pattern, score) and tokens that mostly stand where a family name does, from e-mail seeds by rounds over the graph."""
     seeds = spans_.where("what = 'email' AND g IS NOT NULL").select("g", "f")
     count = seeds.groupBy
     given = cut(count(F.col("g").alias("t")).agg(F.count("*").alias("c")).select("t"))
@@ -164,25 +164,29 @@ def name_model(spans_: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     for _ in range(rounds):
         g, f = small_side(given.withColumnRenamed("t", "g").withColumn("is_g", F.lit(1.0))), small_side(family.withColumnRenamed("t", "last").withColumn("is_f", F.lit(1.0)))
         marked = cut(edges.join(g, "g", "left").join(f, "last", "left").withColumn("yes", F.coalesce("is_g", F.lit(0.0)) * F.coalesce("is_f", F.lit(0.0))).withColumn("half", F.greatest(F.coalesce("is_g", F.lit(0.0)), F.coalesce("is_f", F.lit(0.0)))))
-        patterns = cut(marked.select("yes", "half", "n", F.inline(sides)).groupBy("side", "pattern").agg(_share(F.greatest(F.col("yes"), F.col("half") * 0.7), F.col("n"), 3.0, 0.0).alias("score"), F.sum("n").alias("n")).where("n >= 3 AND score >= 0.3"))
-        strong = small_side(patterns.where("score >= 0.6").select("side", "pattern", "score"))
+        patterns = cut(marked.select("yes", "half", "n", F.inline(sides)).groupBy("side", "pattern").agg(_share(F.greatest(F.col("yes"), F.col("half") * 0.8), F.col("n"), 1.0, 0.0).alias("score"), F.sum("n").alias("n")).where("n >= 2 AND score >= 0.3"))
+        strong = small_side(patterns.where("n >= 3 AND score >= 0.6").select("side", "pattern", "score"))
         per = marked.select("e", F.inline(sides)).join(strong, ["side", "pattern"]).groupBy("e").agg(F.max("score").alias("s"))
         credit = marked.join(per, "e", "left").withColumn("s", F.greatest(F.coalesce("s", F.lit(0.0)), F.col("yes")))
         grown = lambda c: credit.groupBy(F.col(c).alias("t")).agg(F.sum(F.col("s") * F.col("n")).alias("c"), F.sum("n").alias("all")).where("c >= 1.2 AND c / all >= 0.5").select("t")
+        follows = cut(credit.groupBy(F.col("last").alias("t")).agg((F.sum(F.greatest(F.col("s"), F.coalesce("is_g", F.lit(0.0)) * 0.6) * F.col("n")) / F.sum("n")).alias("fits")).where("fits >= 0.5"))
         given, family = cut(given.union(grown("g")).distinct()), cut(family.union(grown("last")).distinct())
-    return given, family, patterns
+    return given, family, patterns, follows
 
 
 def names_found(spans_: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    given, family, patterns = name_model(spans_, rounds)
+    given, family, patterns, follows = name_model(spans_, rounds)
     names = spans_.where("what = 'name'").withColumn("last", F.element_at(F.split("f", "-"), -1))
     best = {s: small_side(patterns.where(F.col("side") == s).select(F.col("pattern").alias(s), F.col("score").alias("s_" + s))) for s in ("left1", "left2", "right2")}
     j = names.join(small_side(given.withColumnRenamed("t", "g").withColumn("is_g", F.lit(True))), "g", "left").join(small_side(family.withColumnRenamed("t", "last").withColumn("is_f", F.lit(True))), "last", "left")
+    j = j.join(small_side(follows.withColumnRenamed("t", "last")), "last", "left")
     for s, df in best.items():
         j = j.join(df, s, "left")
     top = F.greatest(*[F.coalesce(f"s_{s}", F.lit(0.0)) for s in best])
     both = F.col("is_g") & F.col("is_f")
-    sure = F.when(both, 2.0 + top).when((F.col("is_g") | F.col("is_f")) & (top >= 0.5), 1.0 + top).when(F.coalesce("s_left2", F.lit(0.0)) >= 0.8, top)
+    z = lambda s: F.coalesce(f"s_{s}", F.lit(0.0))
+    framed = 1.0 - (1.0 - F.greatest(z("left1"), z("left2"))) * (1.0 - z("right2"))  # the words on both sides together
+    sure = F.when(both, 2.0 + top).when((F.col("is_g") | F.col("is_f")) & (top >= 0.5), 1.0 + top).when(F.col("is_g") & F.col("fits").isNotNull(), 1.0).when((z("left2") > 0) & (framed >= 0.8), framed)
     return j.withColumn("w", sure).where("w IS NOT NULL").select("_rid", "start", "end", F.lit("name").alias("kind"), "value", "w")
 
 
