@@ -374,3 +374,27 @@ QUERIES = dict(
         tpr_by_group, fairness_pre_post_merge, skill_dictionary, skill_edges, graph_nodes_edges, graph_degree, graph_hash, zero_skill_counts, missing_skills_topk, interactions_union, int_index, normalized_adjacency, lightgcn_propagate_2hop, sage_mean_aggregate, negative_pool, bpr_loss_fixed_pairs,
         node2vec_topk, lightgcn_topk, graphsage_topk, surrogate_shap_global, surrogate_shap_pairs, html_strip_simple, html_strip_parser, id_repair, id_repair_summary, jobs_clean, jobs_clean_counts, jobs_index, metrics_normalised, metrics_unpivot, overall_pick, labelled_missing_resumes, best_per_pair, first_label_per_pair)]
 )
+
+
+def filtered_shortlist(spark, d):
+    """The shortlist of the job with most stored rows."""
+    from pairloom.sources import scans
+
+    t = table(spark, d, "job_to_resumes_top10_tfidf")
+    most = t.where("job_id IS NOT NULL").groupBy("job_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "job_id").first()
+    return scans.one_job(t.where("resume_id IS NOT NULL").select("job_id", "resume_id", "score", "rank"), most[0] if most else "").select("job_id", "resume_id", "rank")
+
+
+def top_labels(spark, d):
+    from pairloom.sources import scans
+
+    return scans.top_labels(table(spark, d, "labels_clean_top10_strict"))
+
+
+def ranks_by_order(spark, d):
+    from pairloom.sources import scans
+
+    return scans.ranks_by_order(table(spark, d, "job_to_resumes_top10_tfidf"), "row_num")
+
+
+QUERIES |= {f.__name__: f for f in (filtered_shortlist, top_labels, ranks_by_order)}

@@ -213,3 +213,9 @@ SELECT round(avg(-(least(s, 0) - ln(1 + exp(-abs(s))))) + 1e-4 * sum(q) / count(
     "best_per_pair": with_(PAIRS) + "SELECT * FROM prs",
     "first_label_per_pair": "SELECT job_id, resume_id, label FROM labels_clean_top10_strict WHERE job_id IS NOT NULL AND resume_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id, resume_id ORDER BY label_row) = 1",
 }
+
+ORACLE |= {
+    "filtered_shortlist": "SELECT job_id, resume_id, coalesce(rank, 1000000000) AS rank FROM job_to_resumes_top10_tfidf WHERE resume_id IS NOT NULL AND job_id = (SELECT job_id FROM job_to_resumes_top10_tfidf WHERE job_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, job_id LIMIT 1) ORDER BY 3, 2 LIMIT 10",
+    "top_labels": "WITH b AS (SELECT job_id, resume_id, max(coalesce(match_percent, 0.0)) AS match_percent FROM labels_clean_top10_strict WHERE job_id IS NOT NULL AND resume_id IS NOT NULL GROUP BY 1, 2) SELECT *, CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY match_percent DESC, resume_id) <= 10 THEN 1 ELSE 0 END AS y FROM b",
+    "ranks_by_order": "SELECT job_id, resume_id, CAST(max(r) AS INTEGER) AS rank FROM (SELECT job_id, resume_id, row_number() OVER (PARTITION BY job_id ORDER BY row_num) AS r FROM job_to_resumes_top10_tfidf WHERE job_id IS NOT NULL AND resume_id IS NOT NULL) GROUP BY 1, 2",
+}

@@ -241,3 +241,25 @@ def test_streams(spark, tmp_path):
     assert out.agg(F.sum("n")).first()[0] == 40
     counts.group_counts(counts.label_stream(spark, str(tmp_path / "in"), df.schema), ["label"], str(tmp_path / "out"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 45
+
+
+def test_scans(spark, tmp_path):
+    from pairloom.sources import scans
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "train.csv").write_text('Filename,Match %\nx.PDF,"81,5 %"\ny,bad\n')
+    (tmp_path / "a" / "other.csv").write_text("id,score\n1,2\n")
+    (tmp_path / "a" / "none.csv").write_text("p,q\n1,2\n")
+    best = scans.find_mapping(str(tmp_path))
+    assert best.endswith("train.csv") and scans.find_mapping(str(tmp_path / "missing")) is None
+    (tmp_path / "m.csv").write_text("resume_id,score\nx.PDF,81.5 %\ny,bad\n")
+    assert rows(scans.match_pairs(spark, str(tmp_path / "m.csv")), "resume_id", "match_percent") == [("x", 81.5), ("y", 0.0)]
+    assert scans.overall_metrics(spark, str(tmp_path)) is None
+    (tmp_path / "overall_metrics.csv").write_text("source,p_at_10\ntfidf,0.5\n")
+    assert scans.overall_metrics(spark, str(tmp_path)).first().source == "tfidf"
+    kv = spark.createDataFrame([("dp_difference", "0.25 pp")], "metric string, overall string")
+    one = spark.createDataFrame([("dp ratio: 0.8",)], "t string")
+    wide = spark.createDataFrame([("g=F", "n", 0.5)], "g string, c string, r double")
+    assert [rows(scans.fairness_values(x), "key", "value") for x in (kv, one, wide)] == [[("dp_difference", 0.25)], [("dp ratio", 0.8)], [("g=F", 0.5)]]
+    lab = spark.createDataFrame([("j", "a", 5.0), ("j", "b", None), ("j", "a", 7.0)], "job_id string, resume_id string, match_percent double")
+    assert rows(scans.top_labels(lab, 1), "resume_id", "match_percent", "y") == [("a", 7.0, 1), ("b", 0.0, 0)]
