@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.session import small_side
+from pairloom.session import cut, small_side
 
 
 def _bounds(n: int):
@@ -48,7 +48,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, place:
     """
     rows = df.select(F.col(f"`{group}`").cast("string").alias("g"), F.col(f"`{item}`").cast("string").alias("i"), (F.col(f"`{score}`").cast("double") + F.lit(0.0)).alias("s")).where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)")
     local = rows.mapInPandas(_bounds(n), "g string, i string, s double")
-    bounds = local.groupBy("g").agg(F.min(F.struct((-F.col("s")).alias("ns"), F.col("i").alias("bi"))).alias("b")).select("g", F.col("b.ns").alias("bs"), F.col("b.bi").alias("bi"))
+    bounds = cut(local.groupBy("g").agg(F.min(F.struct((-F.col("s")).alias("ns"), F.col("i").alias("bi"))).alias("b")).select("g", F.col("b.ns").alias("bs"), F.col("b.bi").alias("bi")))
     left = rows.join(small_side(bounds), "g", "left").where("bs IS NULL OR -s < bs OR (-s = bs AND i <= bi)")
     once = left.groupBy("g", "i").agg(F.max("s").alias("s"))
     w = W.partitionBy("g").orderBy(F.col("s").desc(), F.col("i").asc())
