@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.session import spread_join
+from pairloom.session import cut, spread_join
 
 #: Where the public tokenizer files lie; a parameter of every function here.
 TOKENIZERS = os.environ.get("PAIRLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -74,7 +74,7 @@ def encode(df: DataFrame, id_col: str, text: str, folder: str = TOKENIZERS, name
     """
     pre = pretokens(df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", ["_id"])
     at = pre.where(F.size("_p") > 0).select("_rid", "_id", F.posexplode("_p").alias("pos", "word"))
-    dictionary = word_ids(at.select("word").distinct(), folder, name)
+    dictionary = cut(word_ids(at.select("word").distinct(), folder, name))
     joined = spread_join(at, dictionary, "word", salts=SALTS, spread_by="_rid")
     whole = joined.groupBy("_rid", "_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "wids"))), lambda x: x["wids"])).alias("ids"))
     empty = pre.where(F.size("_p") == 0).select("_rid", "_id", F.array().cast("array<int>").alias("ids"))
