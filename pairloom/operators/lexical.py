@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.rank import fill_zeros, topk
-from pairloom.session import small_side, spread_join
+from pairloom.session import cut, small_side, spread_join
 
 WORDS1 = r"[\p{L}\p{N}_]+"
 WORDS2 = r"[\p{L}\p{N}_]{2,}"
@@ -49,7 +49,7 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, fitted_on: DataFrame) -> D
     def norms(w: DataFrame, name: str) -> DataFrame:
         return w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
 
-    wq, wd = weights(queries), weights(docs)
+    wq, wd = cut(weights(queries)), cut(weights(docs))  # both are used twice
     dots = wd.join(small_side(wq.withColumnsRenamed({"id": "query", "w": "wq"})), "token").groupBy("query", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
     j = dots.join(small_side(norms(wq, "nq").withColumnRenamed("id", "query")), "query").join(norms(wd, "nd"), "id")
     return j.select("query", F.col("id").alias("doc"), (F.col("dot") / (F.col("nq") * F.col("nd"))).alias("score"))
@@ -57,7 +57,7 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, fitted_on: DataFrame) -> D
 
 def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query, doc, score): BM25 with statistics of the document side; a token repeated in the query counts each time."""
-    tf = term_counts(docs, WORDS1)
+    tf = cut(term_counts(docs, WORDS1))  # used for statistics, lengths and scores
     n = docs.count()
     total = tf.agg(F.sum("f")).first()[0] or 0
     avgdl = (total / n) if n and total else 1.0
