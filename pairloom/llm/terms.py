@@ -8,11 +8,14 @@ collection. The same edges give the number of occurrences: each occurrence has e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.session import spread_join
+from pairloom.session import cut, spread_join
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 WINDOW = 3
@@ -22,32 +25,32 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def edges(records: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_rid, keys, term, next, dist): one row per pair of positions at most window - 1 apart; next is null at the end mark.
-
-    One shuffle of the texts by record; what follows is grouped by record, so the edges themselves are never shuffled.
-    """
-    spread = records.repartition("_rid")
-    t = spread.withColumn("_t", terms_of(F.col("text"))).where(F.size("_t") > 0)
-    out = F.flatten(
-        F.transform(
-            F.col("_t"),
-            lambda x, i: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(window - 1), F.size("_t") - 1 - i))), lambda k: F.struct(x.alias("term"), F.get(F.col("_t"), i + k).alias("next"), k.alias("dist"))),
-        )
-    )
-    return t.select("_rid", "table_name", "row_num", F.inline(out))
+def word_graph(tokens: list[str], window: int = WINDOW) -> tuple[list[str], list[int], list[int]]:
+    """Terms of one record with their multiplicity over edges to the next position, and their numbers of distinct neighbours."""
+    near: dict[str, set] = {}
+    following: dict[str, int] = {}
+    n = len(tokens)
+    for i, x in enumerate(tokens):
+        following[x] = following.get(x, 0) + 1  # the edge to the next position, or to the end mark
+        own = near.setdefault(x, set())
+        for y in tokens[i + 1 : min(i + window, n)]:
+            own.add(y)
+            near.setdefault(y, set()).add(x)
+    return list(following), list(following.values()), [len(near[t]) - (t in near[t]) for t in following]
 
 
 def record_terms(records: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_rid, table_name, row_num, term, f, degree): occurrences, and distinct other terms within the window on either side."""
-    e = edges(records, window)
-    both = F.array(
-        F.struct(F.col("term").alias("t"), F.col("next").alias("other"), F.when(F.col("dist") == 1, 1).otherwise(0).alias("out")),
-        F.struct(F.col("next").alias("t"), F.col("term").alias("other"), F.lit(0).alias("out")),
-    )
-    sides = e.select("_rid", "table_name", "row_num", F.inline(both)).where("t IS NOT NULL")
-    once = sides.groupBy("_rid", "table_name", "row_num", "t", "other").agg(F.sum("out").alias("out"))
-    return once.groupBy("_rid", "table_name", "row_num", F.col("t").alias("term")).agg(F.sum("out").alias("f"), F.sum(F.when(F.col("other").isNotNull() & (F.col("other") != F.col("t")), 1).otherwise(0)).alias("degree"))
+    """(_rid, table_name, row_num, term, f, degree) of each record's graph. Graphs are built record by record in Arrow batches, so neither texts nor edges are shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [word_graph(list(t), window) for t in pdf["_t"]]
+            yield pd.DataFrame({"_rid": pdf["_rid"], "table_name": pdf["table_name"], "row_num": pdf["row_num"], "term": [m[0] for m in made], "f": [m[1] for m in made], "degree": [m[2] for m in made]})
+
+    tokens = records.select("_rid", "table_name", "row_num", terms_of(F.col("text")).alias("_t")).where(F.size("_t") > 0)
+    kinds = dict(records.dtypes)
+    packed = tokens.mapInPandas(run, f"_rid long, table_name {kinds['table_name']}, row_num {kinds['row_num']}, term array<string>, f array<long>, degree array<long>")
+    return packed.select("_rid", "table_name", "row_num", F.inline(F.arrays_zip("term", "f", "degree")))
 
 
 def scored(records: DataFrame, window: int = WINDOW, min_records: int = 1) -> DataFrame:
@@ -59,7 +62,8 @@ def scored(records: DataFrame, window: int = WINDOW, min_records: int = 1) -> Da
     records = records.select("table_name", "row_num", "text", F.monotonically_increasing_id().alias("_rid"))
     n = records.where(F.lower("text").rlike(TERM)).count()
     per = record_terms(records, window)
-    rarity = records.select("_rid", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("d")).where(F.col("d") >= min_records)
+    rarity = records.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("d")).where(F.col("d") >= min_records)
+    rarity = cut(rarity)
     idf = F.log(F.lit(float(max(n, 1))) / F.col("d"))
     return spread_join(per, rarity, "term", spread_by="_rid").select("_rid", "table_name", "row_num", "term", "f", "degree", "d", F.round(F.col("degree") * idf, 6).alias("gow"), F.round(F.col("f") * idf, 6).alias("tf"))
 
