@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.llm import encoding, markup, mix, pii, sentences, terms, tokens, topn
-from pairloom.session import table
+from pairloom.session import cut, table
 
 
 def texts(spark, d):
@@ -61,7 +61,7 @@ def p8_ids(spark, d):
 def p8_roundtrip(spark, d):
     """Per document the number of ids and whether decoding them gives the text again."""
     docs = table(spark, d, "documents")
-    enc = tokens.encode(docs, "doc_id", "text")
+    enc = cut(tokens.encode(docs, "doc_id", "text"))
     back = tokens.decode(enc, "doc_id", "ids").withColumnRenamed("text", "back")
     j = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id").join(enc.select("doc_id", F.size("ids").alias("n_ids")), "doc_id")
     return j.select("doc_id", "n_ids", (F.col("text") == F.col("back")).alias("same"))
