@@ -118,7 +118,7 @@ def _share(score: Column, n: Column, k: float, prior: float) -> Column:
     return (F.sum(score * n) + F.lit(k * prior)) / (F.sum(n) + F.lit(k))
 
 
-def number_scores(numbers: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def number_scores(numbers: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Scores of the words before (kind of pattern, pattern) and of shapes, each for phone and id, by rounds over their graph."""
     seen = numbers.groupBy("sig", "left1", "left2").agg(F.count("*").cast("double").alias("n"))
     edges = cut(seen.select("sig", "n", F.inline(F.array(F.struct(F.lit("left1").alias("side"), F.col("left1").alias("pattern")), F.struct(F.lit("left2").alias("side"), F.col("left2").alias("pattern"))))).groupBy("sig", "side", "pattern").agg(F.sum("n").alias("n")))
@@ -136,7 +136,7 @@ def number_scores(numbers: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame,
     return patterns, shapes
 
 
-def numbers_found(numbers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def numbers_found(numbers: DataFrame, rounds: int = 3) -> DataFrame:
     """The numbers that are phone or identity numbers: seed words decide; elsewhere pattern and shape together."""
     patterns, shapes = number_scores(numbers, rounds)
     side = lambda s, q: small_side(patterns.where(F.col("side") == s).select(F.col("pattern").alias(s), F.col("known").alias(f"known{q}"), F.col("phone").alias(f"phone{q}"), F.col("ident").alias(f"ident{q}")))
@@ -160,8 +160,8 @@ def name_model(spans_: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     parts = spans_.where("what = 'name'").groupBy("g", "f", "left1", "left2", "right2").agg(F.count("*").cast("double").alias("n"))
     edges = cut(parts.withColumn("last", F.element_at(F.split("f", "-"), -1)).withColumn("e", F.xxhash64("g", "f", "left2", "right2", "left1")))
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("pattern")) for s in ("left1", "left2", "right2")])
-    patterns = None
-    for _ in range(rounds):
+    patterns = follows = None
+    for step in range(rounds):
         g, f = small_side(given.withColumnRenamed("t", "g").withColumn("is_g", F.lit(1.0))), small_side(family.withColumnRenamed("t", "last").withColumn("is_f", F.lit(1.0)))
         marked = cut(edges.join(g, "g", "left").join(f, "last", "left").withColumn("yes", F.coalesce("is_g", F.lit(0.0)) * F.coalesce("is_f", F.lit(0.0))).withColumn("half", F.greatest(F.coalesce("is_g", F.lit(0.0)), F.coalesce("is_f", F.lit(0.0)))))
         patterns = cut(marked.select("yes", "half", "n", F.inline(sides)).groupBy("side", "pattern").agg(_share(F.greatest(F.col("yes"), F.col("half") * 0.8), F.col("n"), 1.0, 0.0).alias("score"), F.sum("n").alias("n")).where("n >= 2 AND score >= 0.3"))
@@ -169,7 +169,8 @@ def name_model(spans_: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
         per = marked.select("e", F.inline(sides)).join(strong, ["side", "pattern"]).groupBy("e").agg(F.max("score").alias("s"))
         credit = marked.join(per, "e", "left").withColumn("s", F.greatest(F.coalesce("s", F.lit(0.0)), F.col("yes")))
         grown = lambda c: credit.groupBy(F.col(c).alias("t")).agg(F.sum(F.col("s") * F.col("n")).alias("c"), F.sum("n").alias("all")).where("c >= 1.2 AND c / all >= 0.5").select("t")
-        follows = cut(credit.groupBy(F.col("last").alias("t")).agg((F.sum(F.greatest(F.col("s"), F.coalesce("is_g", F.lit(0.0)) * 0.6) * F.col("n")) / F.sum("n")).alias("fits")).where("fits >= 0.5"))
+        if step == rounds - 1:
+            follows = cut(credit.groupBy(F.col("last").alias("t")).agg((F.sum(F.greatest(F.col("s"), F.coalesce("is_g", F.lit(0.0)) * 0.6) * F.col("n")) / F.sum("n")).alias("fits")).where("fits >= 0.5"))
         given, family = cut(given.union(grown("g")).distinct()), cut(family.union(grown("last")).distinct())
     return given, family, patterns, follows
 
@@ -225,7 +226,7 @@ def items(texts: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> DataFr
     """
     s = cut(spans(texts, key, text))
     found = s.where("what = 'email'").select("_rid", "start", "end", F.lit("email").alias("kind"), "value")
-    found = found.unionByName(addresses_found(s)).unionByName(numbers_found(s.where("what = 'number'"), rounds)).unionByName(without_overlap(names_found(s, rounds)))
+    found = found.unionByName(addresses_found(s)).unionByName(numbers_found(s.where("what = 'number'"))).unionByName(without_overlap(names_found(s, rounds)))
     keys = s.select(key, "_rid", F.col("start"), F.col("end"), F.col("value")).distinct()
     return found.join(keys, ["_rid", "start", "end", "value"])
 
