@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 #: Documents from which the dictionaries are trained, at most (about), and the size of each dictionary.
 FIT_DOCUMENTS = 6_000
 DICT_BYTES = 48 << 10
+#: Characters of a document that go into training, at most.
+FIT_CHARS = 4_000
 DEPTH = 3
 
 # Encodings that UTF-8 is read as, and pairs (read as, written as) of single-byte encodings.
@@ -134,9 +136,9 @@ def readings(word: str) -> tuple[tuple[str, str], ...]:
     if "&" in word:
         plain = html.unescape(word)
         if plain != word and HIGH.search(plain):
-            for name, r in readings(plain):
+            for name, r in read(plain):
                 found["entity+" + name] = r
-    if not HIGH.search(word) or len(word) > 5000:
+    if not HIGH.search(word):
         return tuple(found.items())
     for codec in UTF8_READ_AS:
         try:
@@ -146,7 +148,7 @@ def readings(word: str) -> tuple[tuple[str, str], ...]:
         wide = sum(script(c) in "JKTHA" for c in r if c.isalpha())
         if r != word and plausible(r) and (wide != 1 or not CYRILLIC.search(word)):
             found["utf8:" + codec] = r
-        elif r != word and len(r) < len(word) and codec in ("cp1252", "latin-1", "cp1251") and any(n.startswith("utf8") for n, _ in readings(r)):
+        elif r != word and len(r) < len(word) and codec in ("cp1252", "latin-1", "cp1251") and any(n.startswith("utf8") for n, _ in read(r)):
             found["utf8:" + codec] = r
     if not any(k.startswith("utf8") for k in found):
         for r in lost(word):
@@ -164,6 +166,11 @@ def readings(word: str) -> tuple[tuple[str, str], ...]:
     return tuple(found.items())
 
 
+def read(word: str) -> tuple[tuple[str, str], ...]:
+    """The readings of a word; those of very long words are not kept."""
+    return readings(word) if len(word) <= 500 else readings.__wrapped__(word)
+
+
 class Describer:
     """Description lengths in bytes by language; languages are grouped by whether they write Cyrillic."""
 
@@ -198,7 +205,7 @@ def restore(text: str, d: Describer) -> tuple[str, list[str], bool]:
             by = defaultdict(dict)
             for w in set(WORD.findall(now)):
                 if HIGH.search(w) or "&" in w:
-                    for chain, r in readings(w):
+                    for chain, r in read(w):
                         by[chain][w] = r
             best, least = None, None
             for chain, change in by.items():
@@ -244,7 +251,7 @@ def train(samples: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, by
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", fit_documents: int = FIT_DOCUMENTS) -> dict[str, bytes]:
     """Trains on about fit_documents rows, chosen by a hash of the text; only these come to the driver."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.lower(F.trim(lang)).alias("l"), F.substring(F.col(text), 1, 4000).alias("t"))
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.lower(F.trim(lang)).alias("l"), F.substring(F.col(text), 1, FIT_CHARS).alias("t"))
     n = rows.count()
     share = min(1.0, fit_documents / max(n, 1))
     samples = defaultdict(list)

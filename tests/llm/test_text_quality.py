@@ -64,6 +64,8 @@ def test_encoding_odd_rows(spark, describer, sf):
     assert [(r.row_num, r.restored) for r in got] == [(3, "été " * 3000)] * 2
     assert encoding.restored(df.limit(0), ["row_num"], "text", {}).count() == 0
     assert encoding.restore("Ã©tÃ©", encoding.Describer({}))[0] == "été"
+    word = "é" * 9000  # a very long text without spaces
+    assert encoding.restore(word.encode().decode("cp1252"), encoding.Describer({}))[0] == word
 
 
 MARKUP = [
