@@ -168,6 +168,15 @@ def test_posteriors_against_enumeration(model):
     assert model.posteriors(run) == pytest.approx([x / total for x in ones], abs=1e-9)
 
 
+def test_sentence_model_counts_every_document_whole(spark):
+    """More rows than any sample, copies among them, and a word behind the first 20,000 characters."""
+    rows = spark.range(30_000).select(F.concat(F.lit("Unit "), F.floor(F.col("id") / 2).cast("string"), F.lit(" ended.")).alias("text"))
+    late = spark.createDataFrame([("pad " * 6_000 + "sent to Zorv. Then on. " * 3,)], "text string")
+    c = sentences.fit(rows.unionByName(late), rounds=1).c
+    scale = sentences.SCALE_DOCUMENTS / 30_001
+    assert c["s1", "Unit", ""][1] == pytest.approx(30_000 * scale, abs=1e-5) and c["e1", "Zorv.", ""][1] == pytest.approx(3 * scale, abs=1e-5)
+
+
 def people(spark, extra):
     base = spark.read.parquet("/root/testdata/sf0.01/resume_clean.parquet").select("row_num", F.col("Resume_str").alias("text"))
     return base.unionByName(spark.createDataFrame(extra, "row_num long, text string"))
