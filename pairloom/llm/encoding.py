@@ -161,6 +161,8 @@ def readings(word: str) -> tuple[tuple[str, str], ...]:
             continue
         if r != word and right != "cp1250" and right != "cp1253" and russian(r):
             found[f"single:{codec}:{right}"] = r
+        elif r != word and right == "cp1250" and plausible(r) and all(script(c) == "L" for c in r if c.isalpha()):
+            found[f"single:{codec}:{right}"] = r
         elif r != word and right == "cp1253" and plausible(r) and all(script(c) == "G" for c in r if c.isalpha()):
             found[f"single:{codec}:{right}"] = r
     return tuple(found.items())

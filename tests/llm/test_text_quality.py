@@ -43,6 +43,12 @@ def test_single_byte_round_trip(describer, read, written):
     assert used and fixed == text
 
 
+def test_single_byte_round_trip_of_polish(describer):
+    text = "Zarządzałem zespołem ośmiu osób, książka i źródło są już gotowe."
+    fixed, used, _ = encoding.restore(text.encode("cp1250").decode("cp1252"), describer)
+    assert used == ["single:cp1252:cp1250"] and fixed == text
+
+
 def test_twice_partly_and_lost(describer):
     twice = "coordinated São Tomé crews".encode().decode("cp1252").encode().decode("cp1252")
     assert encoding.restore(twice, describer)[0] == "coordinated São Tomé crews"
