@@ -98,6 +98,53 @@ def test_markup_keeps_structure():
     assert all(markup.clean(t) == t for t, k in MARKUP if not k)
 
 
+def test_markup_leaves_code_and_formulas_as_they_are():
+    code = "```python\ndef __init__(self, **kwargs):\n    return '<b>%s</b>' % [x](y)\n```"
+    assert markup.clean("## Use\n\n" + code) == "# Use\n\n" + code
+    assert markup.clean("<p>Run</p><pre><code>if a &lt; b:\n  **x**</code></pre>") == "Run\n\n```\nif a < b:\n  **x**\n```"
+    assert markup.clean("\\begin{equation}E=mc^2\\end{equation}") == "$$E=mc^2$$"
+    assert markup.clean("\\begin{verbatim}\n\\textbf{x}\n\\end{verbatim}") == "```\n\\textbf{x}\n```"
+    assert markup.clean("**So** $a_i * b_j = \\frac{a}{b}$ and <code>a_b_c</code>") == "So $a_i * b_j = \\frac{a}{b}$ and a_b_c"
+    assert markup.clean("\\href{http://a.example}{the {x} link}, \\cventry{2010}{Clerk}{Town} {\"a\": {\"b\": 1}}") == "the {x} link, 2010 Clerk Town {\"a\": {\"b\": 1}}"
+
+
+def test_markup_of_any_length():
+    assert markup.clean("a <!-- " + "c\n" * 4000 + "--> b") == "a  b" and markup.kinds("<!--" + "c" * 9000 + "-->") == ["html"]
+    assert markup.kinds("`" + "c " * 4000 + "`") == ["markdown"] and markup.kinds("$x = " + "a+" * 4000 + "b$") == ["latex"] and markup.kinds("*" + "e " * 4000 + "e*") == ["markdown"]
+    assert markup.clean("<script>if (a<b) f('</p>')</script>x") == "x"
+
+
+@pytest.mark.parametrize("part", ["<script>", "<b ", "<!--", "`a", "&lt;b ", "{{a", "**a ", "\\textbf{", "\\begin{equation}", "<pre>", "''x"])
+def test_markup_takes_linear_time(part):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        markup.clean(part * n)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 1.0 + 8 * seconds(4_000)
+
+
+def test_the_cut_decides_what_signs_of_costs_cannot():
+    """A closing mark after a blank, braces and hidden text are content by themselves and residue by their edges."""
+    for text in ("**Bold ** text", "\\emph{x} y", "a <!-- c --> b"):
+        alone = [[m.prior > 0 for m in c] for c, _ in markup.graphs(text, {})]
+        joined = [markup.labels(c, e, {}) for c, e in markup.graphs(text, {})]
+        assert all(map(all, joined)) and not all(map(all, alone))
+
+
+def test_costs_are_learnt_from_structure(spark):
+    """Braces confirmed by macros in every text raise their log-odds; forms never confirmed fall."""
+    df = spark.createDataFrame([(i, f"\\emph{{x{i}}} and A -> B, List<String> {i}") for i in range(60)], "row_num long, text string")
+    costs = markup.fit(markup.packed(df, ["row_num"], "text"))
+    brace = next(v for k, v in costs.items() if ".brace" in k)
+    typed = next(v for k, v in costs.items() if k.startswith("ht.tag -3"))
+    assert brace > markup.BRACE + 1 and typed <= -3
+    assert markup.fit(markup.packed(df.limit(0), ["row_num"], "text")) == {}
+
+
 def test_minimum_cut_against_brute_force():
     rng = random.Random(4)
     for _ in range(200):
