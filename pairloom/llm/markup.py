@@ -34,7 +34,7 @@ NEAR, REACH, PAIR, INSIDE = 0.6, 60.0, 2.0, 1.5
 #: Self-training: rounds, weight of the prior in labels, and how far log-odds may move from it.
 ROUNDS, PRIOR_N, SHIFT = 2, 20.0, 1.5
 #: Prior log-odds of hidden text for being markup, and of a closing brace: both are content unless their edges say otherwise.
-HIDDEN, BRACE = -1.0, -1.0
+HIDDEN, BRACE = -1.0, -0.2
 
 # Names of HTML elements and of LaTeX macros.
 TAGS = set("a abbr address area article aside audio b base blockquote body br button canvas caption center cite code col colgroup dd del details dfn div dl dt em embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param pre q s samp script section select small source span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr o:p".split())

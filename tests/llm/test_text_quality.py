@@ -135,13 +135,17 @@ def test_the_cut_decides_what_signs_of_costs_cannot():
         assert all(map(all, joined)) and not all(map(all, alone))
 
 
+def test_many_arguments_do_not_outvote_their_macro():
+    assert markup.kinds("\\cventry{2021}{clerk}{Led a crew}{}{}{Did x}") == ["latex"]
+
+
 def test_costs_are_learnt_from_structure(spark):
     """Braces confirmed by macros in every text raise their log-odds; forms never confirmed fall."""
     df = spark.createDataFrame([(i, f"\\emph{{x{i}}} and A -> B, List<String> {i}") for i in range(60)], "row_num long, text string")
     costs = markup.fit(markup.packed(df, ["row_num"], "text"))
     brace = next(v for k, v in costs.items() if ".brace" in k)
     typed = next(v for k, v in costs.items() if k.startswith("ht.tag -3"))
-    assert brace > markup.BRACE + 1 and typed <= -3
+    assert brace > markup.BRACE + 0.5 and typed <= -3
     assert markup.fit(markup.packed(df.limit(0), ["row_num"], "text")) == {}
 
 
