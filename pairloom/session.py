@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,22 +32,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's spark.checkpoint.dir; a local folder only where that is unset (tests)."""
+    """The shared folder for checkpoints, as spark.checkpoint.dir names it.
+
+    Only a local master, whose tasks all run on this machine, may do without: it gets a folder of its own. Elsewhere an unset
+    folder is an error, since executors would write to their own disks.
+    """
     sc = spark.sparkContext
     jdir = sc._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pairloom-checkpoints")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        where = os.path.join(tempfile.gettempdir(), f"pairloom-{uuid.uuid4().hex}")
+        _delete_on_exit(spark, where)
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by an eager, reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder: compressed and read by columns, for results that are large or used in parts."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether df has at most `rows` rows and about `size` bytes (strings counted, other columns as 8 bytes); reads no more than rows + 1 rows past df's own plan."""
     strings = [c for c, t in df.dtypes if t == "string"]
