@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.rank import fill_zeros, topk
-from pairloom.session import cut, small_side, spread_join
+from pairloom.session import cut, frequent_join, small_side
 
 WORDS1 = r"[\p{L}\p{N}_]+"
 WORDS2 = r"[\p{L}\p{N}_]{2,}"
@@ -41,10 +41,10 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, fitted_on: DataFrame) -> D
     """(query, doc, score): cosine of TF-IDF vectors of all pairs with a common token; the vocabulary is that of fitted_on (id, text, kind)."""
     n = fitted_on.count()
     every = fitted_on.select(F.concat("kind", F.lit("|"), "id").alias("id"), "text")
-    idf = smoothed_idf(document_frequencies(term_counts(every)), n).select("token", "idf")
+    idf = cut(smoothed_idf(document_frequencies(term_counts(every)), n))
 
     def weights(side: DataFrame) -> DataFrame:
-        return spread_join(term_counts(side), idf, "token", spread_by="id").select("id", "token", (F.col("f") * F.col("idf")).alias("w"))
+        return frequent_join(term_counts(side), idf, "token", "df").select("id", "token", (F.col("f") * F.col("idf")).alias("w"))
 
     def norms(w: DataFrame, name: str) -> DataFrame:
         return w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))

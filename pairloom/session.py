@@ -92,13 +92,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(df) if is_small(df, rows, size) else df
 
 
-def spread_join(fact: DataFrame, side: DataFrame, key: str, *, salts: int = 16, spread_by: str, how: str = "inner", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Joins a fact table, whose keys may be very skewed, to a side table that has each key once.
+#: Keys of a large side that are broadcast because they are the most frequent ones, and their longest text.
+FREQUENT, FREQUENT_BYTES = 50_000, 200
 
-    A measured-small side is broadcast. Otherwise the fact gets a salt from `spread_by` and the side is repeated once per
-    salt, so that the rows of a hot key are spread over `salts` tasks. Keys compare by equality; null keys match nothing.
+
+def frequent_join(fact: DataFrame, side: DataFrame, key: str, freq: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, frequent: int = FREQUENT) -> DataFrame:
+    """Inner join of a fact table, whose text keys may be very skewed, to a side that has each key once with its number of fact rows.
+
+    A measured-small side is broadcast. Otherwise its most frequent keys are, whose number and length are bounded, and only
+    the rows of other keys are shuffled: each of those keys has at most one in `frequent` of all rows, so none is hot.
+    A frequent key longer than FREQUENT_BYTES stays in the shuffle, where AQE splits its partition. Null keys match nothing.
     """
     if is_small(side, rows, size):
-        return fact.join(F.broadcast(side), key, how)
-    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return fact.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_by)), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+        return fact.join(F.broadcast(side), key)
+    head = cut(side.where(F.octet_length(key) <= FREQUENT_BYTES).orderBy(F.col(freq).desc(), key).limit(frequent))
+    tail = side.join(F.broadcast(head.select(key)), key, "left_anti")
+    return fact.join(F.broadcast(head), key).unionByName(fact.join(F.broadcast(head.select(key)), key, "left_anti").join(tail, key))
