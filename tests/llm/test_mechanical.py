@@ -32,11 +32,13 @@ def test_ids_match_the_other_library_and_decode(spark, sf):
     assert all(r.same for r in queries.p8_roundtrip(spark, sf).collect())
 
 
-def test_ids_without_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_ids_where_the_dictionary_is_too_large_to_broadcast(spark, monkeypatch, frequent):
     monkeypatch.setattr("pairloom.session.is_small", lambda *a, **k: False)
-    df = spark.createDataFrame([(1, "a b a b " * 50), (2, " the the")], "doc_id long, text string")
+    rows = list(enumerate(ODD)) + [(3, "a"), (None, "null id"), (50, "a b a b " * 50), (51, " the the zqxjkv" * 20 + "end")]
     enc = tokens.encoding()
-    assert {r.doc_id: list(r.ids) for r in tokens.encode(df, "doc_id", "text").collect()} == {1: enc.encode_ordinary("a b a b " * 50), 2: enc.encode_ordinary(" the the")}
+    got = collections.Counter((r.doc_id, tuple(r.ids)) for r in tokens.encode(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", frequent=frequent).collect())
+    assert got == collections.Counter((i, tuple(enc.encode_ordinary(t or ""))) for i, t in rows)
 
 
 def test_empty_tables(spark):
