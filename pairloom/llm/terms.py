@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.session import cut, spread_join
+from pairloom.session import cut, frequent_join
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 WINDOW = 3
@@ -65,7 +65,7 @@ def scored(records: DataFrame, window: int = WINDOW, min_records: int = 1) -> Da
     rarity = records.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("d")).where(F.col("d") >= min_records)
     rarity = cut(rarity)
     idf = F.log(F.lit(float(max(n, 1))) / F.col("d"))
-    return spread_join(per, rarity, "term", spread_by="_rid").select("_rid", "table_name", "row_num", "term", "f", "degree", "d", F.round(F.col("degree") * idf, 6).alias("gow"), F.round(F.col("f") * idf, 6).alias("tf"))
+    return frequent_join(per, rarity, "term", "d").select("_rid", "table_name", "row_num", "term", "f", "degree", "d", F.round(F.col("degree") * idf, 6).alias("gow"), F.round(F.col("f") * idf, 6).alias("tf"))
 
 
 def top_terms(records: DataFrame, weight: str = "gow", k: int = 1, window: int = WINDOW, min_records: int = 2) -> DataFrame:
