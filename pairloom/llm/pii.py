@@ -9,18 +9,24 @@ identifiers, given names, family names and streets, which in turn make further p
 * names: given and family tokens (seeds: the two parts of e-mail addresses) against the words before and after;
 * addresses: spans of a known form (seeds) score the words before them, which then admit spans of unknown form;
 * e-mail addresses: by their form, also when written out in words.
+
+A pattern, token or shape counts when its smoothed share of confirmed uses is high enough: the smoothing asks small numbers
+for unanimity, and no absolute number of uses decides, so the rules are alike at every size. The model (patterns, tokens,
+shapes) is a set of tables that can be fitted on one corpus, written, and applied to other texts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import cut, small_side
+from pairloom.session import cut, small_side, table
 
 ROUNDS = 4
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -54,6 +60,12 @@ NAME = regex.compile(rf"(?<![\p{{L}}\d@._-])(?P<g>{WORD}(?:-{WORD})?)(?:[ \t](?P
 COMMA_NAME = regex.compile(rf"(?<![\p{{L}}\d@._-])(?P<f>{WORD}(?:-{WORD})?),[ ](?P<g>{WORD}(?:-{WORD})?)(?:[ ](?P<i>\p{{Lu}}\.))?(?![\p{{L}}@_-])")
 LOWER_NAME = regex.compile(r"(?<=:[ \t])(?P<g>\p{Ll}[\p{L}'’]+)(?:[ \t](?P<i>\p{L}\.))?[ \t](?P<f>\p{Ll}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)?)(?![\p{L}@_-])")
 TOKEN = regex.compile(r"\S+")
+#: What a text must hold for the dearer patterns to have a match in it.
+AT_SIGN = regex.compile(r"@|[(\[{]\s?(?:at|AT)\s?[)\]}]|\s(?:at|AT)\s[A-Za-z0-9-]+\s?(?:\s(?:dot|DOT)\s|[(\[{]\s?(?:dot|DOT|\.))")
+PLACE_END = regex.compile(r"\d[^\d]*?(?:,|\s/|\sin)\s\p{Lu}")
+LOWER_START = regex.compile(r":[ \t]\p{Ll}")
+#: Shares from which a pattern counts and is strong, from which a token and an address word count, and the smoothing of each.
+WEAK, STRONG, TOKEN_SHARE, WORD_SHARE = (0.3, 2.5), (0.6, 2.0), (0.5, 1.2), (0.5, 5.0)
 DIGIT = regex.compile(r"\d")
 COLUMNS = ["start", "end", "what", "value", "sig", "g", "f", "left1", "left2", "right2"]
 
@@ -65,53 +77,69 @@ def context(text: str, a: int, b: int) -> tuple[str, str, str]:
     return (left[-1] if left else "^")[-30:], " ".join(left)[-50:] or "^", " ".join(right)[:40]
 
 
+class Taken:
+    """Disjoint spans in order; whether another is free of them is told by its neighbours."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return not i or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def candidates(text: str) -> list[tuple]:
-    out, taken = [], []
-
-    def free(a: int, b: int) -> bool:
-        return not any(a < y and x < b for x, y in taken)
-
-    for m in EMAIL.finditer(text):
-        a, b = m.span("v")
-        spaced = regex.search(r"\s(?:at|AT)\s", m["v"]) and "@" not in m["v"]
-        if spaced and not regex.search(r"\s(?:dot|DOT)\s|[(\[{]\s?(?:dot|DOT)", m["v"]):
-            continue
-        taken.append((a, b))
-        p = regex.match(r"(\p{L}{2,})[._-](\p{L}{2,})(?:\s?@|\s?[(\[{]| AT)", m["v"])
-        out.append((a, b, "email", m["v"], "", p[1].lower() if p else None, p[2].lower() if p else None, *context(text, a, b)))
+    """(start, end, what, value, shape, given, family, words around) of every span that could be an item."""
+    out, taken = [], Taken()
+    if AT_SIGN.search(text):
+        for m in EMAIL.finditer(text):
+            a, b = m.span("v")
+            spaced = regex.search(r"\s(?:at|AT)\s", m["v"]) and "@" not in m["v"]
+            if spaced and not regex.search(r"\s(?:dot|DOT)\s|[(\[{]\s?(?:dot|DOT)", m["v"]):
+                continue
+            taken.add(a, b)
+            p = regex.match(r"(\p{L}{2,})[._-](\p{L}{2,})(?:\s?@|\s?[(\[{]| AT)", m["v"])
+            out.append((a, b, "email", m["v"], "", p[1].lower() if p else None, p[2].lower() if p else None, *context(text, a, b)))
     for m in ADDRESS.finditer(text):
-        if free(*m.span()):
-            taken.append(m.span())
+        if taken.free(*m.span()):
+            taken.add(*m.span())
             out.append((*m.span(), "address", m[0], "", None, None, *context(text, *m.span())))
-    for m in ANY_ADDRESS.finditer(text):
-        if free(*m.span()):
-            out.append((*m.span(), "address?", m[0], "", None, None, *context(text, *m.span())))
+    if PLACE_END.search(text):
+        for m in ANY_ADDRESS.finditer(text):
+            if taken.free(*m.span()):
+                out.append((*m.span(), "address?", m[0], "", None, None, *context(text, *m.span())))
     for pattern in (ALNUM, NUMBER):
         for m in pattern.finditer(text):
             n = sum(c.isdigit() for c in m[0])
-            if free(*m.span()) and 6 <= n <= 16:
-                taken.append(m.span())
+            if 6 <= n <= 16 and taken.free(*m.span()):
+                taken.add(*m.span())
                 out.append((*m.span(), "number", m[0], regex.sub(r"\p{Lu}", "X", DIGIT.sub("9", m[0])), None, None, *context(text, *m.span())))
-    for pattern in (NAME, COMMA_NAME, LOWER_NAME):
+    for pattern in (NAME, COMMA_NAME, *((LOWER_NAME,) if LOWER_START.search(text) else ())):
         at = 0
         while m := pattern.search(text, at):
             at = m.end("g") if pattern is NAME else m.end()
-            if free(*m.span()):
+            if taken.free(*m.span()):
                 out.append((*m.span(), "name", m[0], "comma" if pattern is COMMA_NAME else "plain", m["g"].lower(), m["f"].lower(), *context(text, *m.span())))
     return out
 
 
 def spans(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per candidate: the key and COLUMNS; null and empty texts have none."""
+    """One row per candidate: _key, _rid (the row) and COLUMNS; null and empty texts have none."""
     kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(k, r, *c) for k, r, t in pdf[["k", "_rid", "t"]].itertuples(index=False) for c in candidates(t)], columns=[key, "_rid", *COLUMNS])
+            yield pd.DataFrame([(k, r, *c) for k, r, t in pdf[["k", "_rid", "t"]].itertuples(index=False) for c in candidates(t)], columns=["_key", "_rid", *COLUMNS])
 
     rid = F.col("_rid") if "_rid" in texts.columns else F.monotonically_increasing_id()
     rows = texts.select(F.col(key).alias("k"), F.col(text).alias("t"), rid.alias("_rid")).where(F.length("t") > 0)
-    return rows.mapInPandas(run, f"`{key}` {kind}, _rid long, start int, end int, what string, value string, sig string, g string, f string, left1 string, left2 string, right2 string")
+    return rows.mapInPandas(run, f"_key {kind}, _rid long, start int, end int, what string, value string, sig string, g string, f string, left1 string, left2 string, right2 string")
 
 
 def _share(score: Column, n: Column, k: float, prior: float) -> Column:
@@ -136,19 +164,22 @@ def number_scores(numbers: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataF
     return patterns, shapes
 
 
-def numbers_found(numbers: DataFrame, rounds: int = 3) -> DataFrame:
-    """The numbers that are phone or identity numbers: seed words decide; elsewhere pattern and shape together."""
-    patterns, shapes = number_scores(numbers, rounds)
+FOUND = ["_key", "_rid", "start", "end", "kind", "value"]
+
+
+def numbers_found(numbers: DataFrame, patterns: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The numbers that are phone or identity numbers: seed words decide; elsewhere pattern and shape together. Words and shapes that the model does not know say nothing."""
     side = lambda s, q: small_side(patterns.where(F.col("side") == s).select(F.col("pattern").alias(s), F.col("known").alias(f"known{q}"), F.col("phone").alias(f"phone{q}"), F.col("ident").alias(f"ident{q}")))
-    j = numbers.join(side("left1", 1), "left1").join(side("left2", 2), "left2").join(small_side(shapes.withColumnsRenamed({"phone": "phone0", "ident": "ident0"})), "sig", "left")
+    j = numbers.join(side("left1", 1), "left1", "left").join(side("left2", 2), "left2", "left").join(small_side(shapes.withColumnsRenamed({"phone": "phone0", "ident": "ident0"})), "sig", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
 
     def score(k: str) -> Column:
-        near, far = F.col(f"{k}1"), F.col(f"{k}2")
-        context = F.when(F.col("known1"), near).when(F.col("known2"), far).otherwise(F.greatest(near, far))
-        return F.when(F.col("known1") | F.col("known2"), context).otherwise(F.sqrt(context * z(f"{k}0")))
+        near, far = z(f"{k}1"), z(f"{k}2")
+        known1, known2 = F.coalesce("known1", F.lit(False)), F.coalesce("known2", F.lit(False))
+        context = F.when(known1, near).when(known2, far).otherwise(F.greatest(near, far))
+        return F.when(known1 | known2, context).otherwise(F.sqrt(context * z(f"{k}0")))
 
-    return j.withColumns({"ph": score("phone"), "id": score("ident")}).where("ph > 0.5 OR id > 0.5").withColumn("kind", F.when(F.col("ph") >= F.col("id"), "phone").otherwise("id_number")).select("_rid", "start", "end", "kind", "value")
+    return j.withColumns({"ph": score("phone"), "id": score("ident")}).where("ph > 0.5 OR id > 0.5").withColumn("kind", F.when(F.col("ph") >= F.col("id"), "phone").otherwise("id_number")).select(*FOUND)
 
 
 def name_model(spans_: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -164,19 +195,18 @@ def name_model(spans_: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     for step in range(rounds):
         g, f = small_side(given.withColumnRenamed("t", "g").withColumn("is_g", F.lit(1.0))), small_side(family.withColumnRenamed("t", "last").withColumn("is_f", F.lit(1.0)))
         marked = cut(edges.join(g, "g", "left").join(f, "last", "left").withColumn("yes", F.coalesce("is_g", F.lit(0.0)) * F.coalesce("is_f", F.lit(0.0))).withColumn("half", F.greatest(F.coalesce("is_g", F.lit(0.0)), F.coalesce("is_f", F.lit(0.0)))))
-        patterns = cut(marked.select("yes", "half", "n", F.inline(sides)).groupBy("side", "pattern").agg(_share(F.greatest(F.col("yes"), F.col("half") * 0.8), F.col("n"), 1.0, 0.0).alias("score"), F.sum("n").alias("n")).where("n >= 2 AND score >= 0.3"))
-        strong = small_side(patterns.where("n >= 3 AND score >= 0.6").select("side", "pattern", "score"))
+        patterns = cut(marked.select("yes", "half", "n", F.inline(sides)).groupBy("side", "pattern").agg(_share(F.greatest(F.col("yes"), F.col("half") * 0.8), F.col("n"), 1.0, 0.0).alias("score"), F.sum("n").alias("n")).where((F.col("score") * (F.col("n") + 1) / (F.col("n") + WEAK[1]) >= WEAK[0])))
+        strong = small_side(patterns.where(F.col("score") * (F.col("n") + 1) / (F.col("n") + STRONG[1]) >= STRONG[0]).select("side", "pattern", "score"))
         per = marked.select("e", F.inline(sides)).join(strong, ["side", "pattern"]).groupBy("e").agg(F.max("score").alias("s"))
         credit = marked.join(per, "e", "left").withColumn("s", F.greatest(F.coalesce("s", F.lit(0.0)), F.col("yes")))
-        grown = lambda c: credit.groupBy(F.col(c).alias("t")).agg(F.sum(F.col("s") * F.col("n")).alias("c"), F.sum("n").alias("all")).where("c >= 1.2 AND c / all >= 0.5").select("t")
+        grown = lambda c: credit.groupBy(F.col(c).alias("t")).agg(F.sum(F.col("s") * F.col("n")).alias("c"), F.sum("n").alias("all")).where(F.col("c") / (F.col("all") + TOKEN_SHARE[1]) >= TOKEN_SHARE[0]).select("t")
         if step == rounds - 1:
             follows = cut(credit.groupBy(F.col("last").alias("t")).agg((F.sum(F.greatest(F.col("s"), F.coalesce("is_g", F.lit(0.0)) * 0.6) * F.col("n")) / F.sum("n")).alias("fits")).where("fits >= 0.5"))
         given, family = cut(given.union(grown("g")).distinct()), cut(family.union(grown("last")).distinct())
     return given, family, patterns, follows
 
 
-def names_found(spans_: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    given, family, patterns, follows = name_model(spans_, rounds)
+def names_found(spans_: DataFrame, given: DataFrame, family: DataFrame, patterns: DataFrame, follows: DataFrame) -> DataFrame:
     names = spans_.where("what = 'name'").withColumn("last", F.element_at(F.split("f", "-"), -1))
     best = {s: small_side(patterns.where(F.col("side") == s).select(F.col("pattern").alias(s), F.col("score").alias("s_" + s))) for s in ("left1", "left2", "right2")}
     j = names.join(small_side(given.withColumnRenamed("t", "g").withColumn("is_g", F.lit(True))), "g", "left").join(small_side(family.withColumnRenamed("t", "last").withColumn("is_f", F.lit(True))), "last", "left")
@@ -188,53 +218,87 @@ def names_found(spans_: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     z = lambda s: F.coalesce(f"s_{s}", F.lit(0.0))
     framed = 1.0 - (1.0 - F.greatest(z("left1"), z("left2"))) * (1.0 - z("right2"))  # the words on both sides together
     sure = F.when(both, 2.0 + top).when((F.col("is_g") | F.col("is_f")) & (top >= 0.5), 1.0 + top).when(F.col("is_g") & F.col("fits").isNotNull(), 1.0).when((z("left2") > 0) & (framed >= 0.8), framed)
-    return j.withColumn("w", sure).where("w IS NOT NULL").select("_rid", "start", "end", F.lit("name").alias("kind"), "value", "w")
+    return j.withColumn("w", sure).where("w IS NOT NULL").select("_key", "_rid", "start", "end", F.lit("name").alias("kind"), "value", "w")
 
 
-def addresses_found(spans_: DataFrame) -> DataFrame:
-    """Addresses of a known form, and spans of any form after words that such addresses follow."""
-    known = spans_.where("what = 'address'").select("_rid", "start", "end", F.lit("address").alias("kind"), "value", "left1", "left2")
-    other = spans_.where("what = 'address?'")
+def address_words(spans_: DataFrame) -> DataFrame:
+    """(left2): words before addresses of a known form that mostly precede such."""
     total = spans_.where("what IN ('address', 'address?')").groupBy("left2").agg(F.sum(F.when(F.col("what") == "address", 1.0).otherwise(0.0)).alias("yes"), F.count("*").alias("n"))
-    good = total.where("yes >= 5 AND yes / (n + 2) >= 0.5").select("left2")
-    return known.drop("left1", "left2").unionByName(other.join(small_side(good), "left2", "left_semi").select("_rid", "start", "end", F.lit("address").alias("kind"), "value"))
+    return total.where(F.col("yes") / (F.col("n") + WORD_SHARE[1]) >= WORD_SHARE[0]).select("left2")
+
+
+def addresses_found(spans_: DataFrame, good: DataFrame) -> DataFrame:
+    """Addresses of a known form, and spans of any form after the words `good`."""
+    named = spans_.withColumn("kind", F.lit("address"))
+    return named.where("what = 'address'").select(*FOUND).unionByName(named.where("what = 'address?'").join(small_side(good), "left2", "left_semi").select(*FOUND))
 
 
 def without_overlap(rows: DataFrame) -> DataFrame:
     """Of overlapping names the surest, then the first; groups are single texts."""
     one = F.struct(F.col("start").alias("a"), F.col("end").alias("b"), F.col("value").alias("v"), F.col("w"))
-    packed = rows.groupBy("_rid").agg(F.collect_list(one).alias("xs"))
+    packed = rows.groupBy("_rid").agg(F.first("_key").alias("_key"), F.collect_list(one).alias("xs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for rid, xs in zip(pdf["_rid"], pdf["xs"]):
-                kept: list = []
+            for key, rid, xs in zip(pdf["_key"], pdf["_rid"], pdf["xs"]):
+                kept = Taken()
                 for x in sorted(xs, key=lambda x: (-round(x["w"], 3), x["a"])):
-                    if all(x["b"] <= y["a"] or y["b"] <= x["a"] for y in kept):
-                        kept.append(x)
-                out += [(rid, x["a"], x["b"], "name", x["v"]) for x in kept]
-            yield pd.DataFrame(out, columns=["_rid", "start", "end", "kind", "value"])
+                    if kept.free(x["a"], x["b"]):
+                        kept.add(x["a"], x["b"])
+                        out.append((key, rid, x["a"], x["b"], "name", x["v"]))
+            yield pd.DataFrame(out, columns=FOUND)
+
+    return packed.mapInPandas(run, f"_key {dict(rows.dtypes)['_key']}, _rid long, start int, end int, kind string, value string")
+
+
+class Model(NamedTuple):
+    """What is learnt: words before numbers and shapes of numbers with scores, given and family tokens, patterns of names, tokens that stand as family names, words before addresses."""
+
+    number_words: DataFrame
+    shapes: DataFrame
+    given: DataFrame
+    family: DataFrame
+    patterns: DataFrame
+    follows: DataFrame
+    places: DataFrame
+
+    def save(self, path: str) -> None:
+        for name, df in self._asdict().items():
+            df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}.parquet")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Model:
+        return cls(*(table(spark, path, name) for name in cls._fields))
+
+
+def fit_spans(s: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of all candidates of a corpus (see spans)."""
+    return Model(*number_scores(s.where("what = 'number'")), *name_model(s, rounds), cut(address_words(s)))
+
 
-    return packed.mapInPandas(run, "_rid long, start int, end int, kind string, value string")
+def fit(texts: DataFrame, text: str, rounds: int = ROUNDS) -> Model:
+    """Learns from all texts of a corpus, whole."""
+    return fit_spans(cut(spans(texts.select(F.lit(0).alias("k"), F.col(text).alias("t")), "k", "t")), rounds)
 
 
-def items(texts: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> DataFrame:
+def items(texts: DataFrame, key: str, text: str, rounds: int = ROUNDS, model: Model | None = None) -> DataFrame:
     """(key, _rid, start, end, kind, value): every item with its place in the text, in code points from 0.
 
-    Null, empty and item-free texts give no rows. Repeated rows are found alike. All texts take part in the scoring.
+    Null, empty and item-free texts give no rows. Repeated rows are found alike. Without a model all texts take part in the
+    scoring; with one, texts are judged by what it knows, so that a few texts can be served too.
     """
     s = cut(spans(texts, key, text))
-    found = s.where("what = 'email'").select("_rid", "start", "end", F.lit("email").alias("kind"), "value")
-    found = found.unionByName(addresses_found(s)).unionByName(numbers_found(s.where("what = 'number'"))).unionByName(without_overlap(names_found(s, rounds)))
-    keys = s.select(key, "_rid", F.col("start"), F.col("end"), F.col("value")).distinct()
-    return found.join(keys, ["_rid", "start", "end", "value"])
+    m = model or fit_spans(s, rounds)
+    found = s.where("what = 'email'").withColumn("kind", F.lit("email")).select(*FOUND).unionByName(addresses_found(s, m.places)).unionByName(numbers_found(s.where("what = 'number'"), m.number_words, m.shapes))
+    found = found.unionByName(without_overlap(names_found(s, m.given, m.family, m.patterns, m.follows)))
+    return found.withColumnRenamed("_key", key)
 
 
-def redacted(texts: DataFrame, key: str, text: str, rounds: int = ROUNDS) -> DataFrame:
+def redacted(texts: DataFrame, key: str, text: str, rounds: int = ROUNDS, model: Model | None = None) -> DataFrame:
     """(key, text, redacted): every text with typed placeholders such as [EMAIL] for its items, all else unchanged; null stays null."""
     numbered = cut(texts.select(F.col(key), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_rid")))
-    per = items(numbered, key, "_text", rounds).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("xs"))
+    per = items(numbered, key, "_text", rounds, model).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("xs"))
     step = lambda acc, x: F.struct(F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.when(x["start"] >= acc["at"], F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
     done = F.aggregate(F.coalesce("xs", F.array().cast("array<struct<start:int,end:int,kind:string>>")), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
     return numbered.join(per, "_rid", "left").select(F.col(key), F.when(F.col("_text").isNotNull(), done).alias("redacted"))

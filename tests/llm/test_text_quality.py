@@ -218,20 +218,48 @@ def test_posteriors_against_enumeration(model):
         for k, (_, _, h2, h1, nxt, _) in enumerate(run):
             anew = k and s[k - 1] and run[k - 1][4] == h1
             e = model.event("<S>" if anew else h2, h1, sentences.lower(nxt))
-            p *= (e if s[k] else 1 - e) * model.word(nxt, "S" if s[k] else h1)
+            p *= (e if s[k] else 1 - e) * model.word(nxt, "S:" + sentences.script(h1) if s[k] else h1)
         total += p
         for k, x in enumerate(s):
             ones[k] += p * x
     assert model.posteriors(run) == pytest.approx([x / total for x in ones], abs=1e-9)
 
 
-def test_sentence_model_counts_every_document_whole(spark):
-    """More rows than any sample, copies among them, and a word behind the first 20,000 characters."""
+def test_sentence_model_counts_every_document_whole(spark, monkeypatch):
+    """More rows than any sample, copies among them, and a word behind the first 20,000 characters; counts scale with the words."""
     rows = spark.range(30_000).select(F.concat(F.lit("Unit "), F.floor(F.col("id") / 2).cast("string"), F.lit(" ended.")).alias("text"))
     late = spark.createDataFrame([("pad " * 6_000 + "sent to Zorv. Then on. " * 3,)], "text string")
-    c = sentences.fit(rows.unionByName(late), rounds=1).c
-    scale = sentences.SCALE_DOCUMENTS / 30_001
-    assert c["s1", "Unit", ""][1] == pytest.approx(30_000 * scale, abs=1e-5) and c["e1", "Zorv.", ""][1] == pytest.approx(3 * scale, abs=1e-5)
+    words = 30_000 * 3 + 6_000 + 15
+    for limit in (10_000_000, 60_000):
+        monkeypatch.setattr(sentences, "SCALE_WORDS", limit)
+        c, scale = sentences.fit(rows.unionByName(late), rounds=1).c, min(1.0, limit / words)
+        assert c["s1", "Unit", ""][1] == pytest.approx(30_000 * scale, abs=1e-5) and c["e1", "Zorv.", ""][1] == pytest.approx(3 * scale, abs=1e-5)
+        assert c["n", "N", ""][1] == pytest.approx((6_000 + 15 - 1 - 5 + 60_000) * scale, rel=0.001)
+
+
+def test_gaps_take_linear_time():
+    import time
+
+    for part in ('"a. b" ', "(((a. ", "a) b] ", "„x. “ ", "「あ。」"):
+
+        def seconds(n, part=part):
+            began = time.process_time()
+            sentences.read(part * n)
+            return time.process_time() - began
+
+        seconds(100)
+        assert seconds(16_000) < 1.0 + 8 * seconds(4_000), part
+
+
+def test_a_sentence_may_begin_with_a_dot():
+    text = "Apply now! .NET is used, v. .5 too."
+    assert [(text[a:b], nxt) for a, b, _, _, nxt, _ in sentences.gaps(text, 0, 0, len(text))] == [(" ", ".NET"), ("", "")]
+
+
+def test_scripts_without_case(model):
+    parts = ["نبحث عن موظف لديه خبرة لا تقل عن 29 سنوات.", "نبحث عن موظف لديه خبرة لا تقل عن 20 سنوات.", "قدم د. Ulberello خطاب التوصية في 2014."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences.split(text, model)] == parts
 
 
 def people(spark, extra):
@@ -256,6 +284,28 @@ def test_personal_information(spark):
     assert red[9003] == "SSN [ID_NUMBER]. Kept lot 900-12-3438 in cold storage."
 
 
+def test_a_fitted_model_serves_single_texts(spark, tmp_path):
+    """Fitted on one corpus, written, read, and applied to two texts that could teach nothing."""
+    pii.fit(people(spark, [(9001, "")]), "text").save(str(tmp_path / "model"))
+    model = pii.Model.load(spark, str(tmp_path / "model"))
+    few = spark.createDataFrame([(1, "Name: Leila Brannmont Fax/phone 020 7946 0106 x204"), (2, "SSN 972-92-6657. Kept lot 900-12-3438 in cold storage.")], "row_num long, text string")
+    assert {(r.row_num, r.kind, r.value) for r in pii.items(few, "row_num", "text", model=model).collect()} == {(1, "name", "Leila Brannmont"), (1, "phone", "020 7946 0106"), (2, "id_number", "972-92-6657")}
+
+
+def test_candidates_take_linear_time():
+    import time
+
+    for part in ("SSN 972-92-6657. ", "a.b@mail.example ", "12 Oak Street, Apt 4, Pindale. "):
+
+        def seconds(n, part=part):
+            began = time.process_time()
+            pii.candidates(part * n)
+            return time.process_time() - began
+
+        seconds(100)
+        assert seconds(8_000) < 1.0 + 8 * seconds(2_000), part
+
+
 def test_no_items_in_empty_tables(spark):
     e = spark.createDataFrame([], "row_num long, text string")
     assert pii.items(e, "row_num", "text").count() == 0 and pii.redacted(e, "row_num", "text").count() == 0
