@@ -127,3 +127,23 @@ def true_positive_rates(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(group, count_labelled, tpr) over labelled pairs; a group without positives has a null rate."""
     j = rows.join(labels, ["job_id", "resume_id"])
     return j.groupBy("group").agg(F.count("*").alias("count_labelled"), F.round(F.avg(F.when(F.col("y") == 1, F.col("y_pred"))), DIGITS).alias("tpr"))
+
+
+def tpr_difference(rates: DataFrame) -> DataFrame:
+    """One row `tpr_diff`: the largest less the smallest rate of the groups with positives; 0 for fewer than two such groups."""
+    return rates.where("tpr IS NOT NULL").agg(F.round(F.when(F.count("*") > 1, F.max("tpr") - F.min("tpr")).otherwise(0.0), DIGITS).alias("tpr_diff"))
+
+
+def parity_report(audit: DataFrame, recs: DataFrame, k: int = 10) -> DataFrame:
+    """The audit's rows and one `__SUMMARY__` row per attribute, with `place`: by attribute, then falling population, then group, the summary last.
+
+    The summary has the worst ratio and difference and a note with the four-fifths rule and the share of jobs with full lists.
+    Lists are counted after repeated resumes are dropped; without jobs the share is 0.
+    """
+    full = shortlist(recs, k).groupBy("job_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("jobs"), F.coalesce(F.sum((F.col("n") >= k).cast("int")), F.lit(0)).alias("full")).first()
+    share = 100.0 * full.full / full.jobs if full.jobs else 0.0
+    cols = ["attribute", "group", "resume_count", "rec_count", "parity_ratio", "parity_diff_pp", "note"]
+    note = F.concat(F.lit("rule_80_pass="), F.col("rule_80_pass").cast("string"), F.lit(f"; jobs_full_k={share:.1f}% ({full.full}/{full.jobs})"))
+    summary = parity_summary(audit).select("attribute", F.lit("__SUMMARY__").alias("group"), F.lit(None).cast("long").alias("resume_count"), F.lit(None).cast("long").alias("rec_count"), F.col("worst_ratio").alias("parity_ratio"), F.col("worst_diff_pp").alias("parity_diff_pp"), note.alias("note"))
+    w = W.partitionBy("attribute").orderBy(F.col("resume_count").desc_nulls_last(), "group")  # the groups of one attribute
+    return audit.select(*cols).unionByName(summary).withColumn("place", F.row_number().over(w))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.rank import DIGITS, topk
 
-#: Queries held by one pass over the rows.
+#: Queries and rows of a block: a task multiplies one block of each.
 BLOCK = 2048
 
 
@@ -25,38 +23,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, left: str, right: str, vec: str = "vec", k: int = 10) -> DataFrame:
+def cosine_topk(queries: DataFrame, rows: DataFrame, left: str, right: str, vec: str = "vec", k: int = 10, block: int = BLOCK) -> DataFrame:
     """(left, right, score, rank): the k rows most similar to each query. Rows without a vector are skipped; k is at most the number of rows.
 
-    Queries come in blocks of bounded size; each partition of the rows keeps its own k best per query, so only those are shuffled.
+    Both sides are cut into blocks, and every block of queries meets every block of rows in a join of the two tables: nothing
+    goes to the driver, tasks hold one block of each side, and only each pair of blocks' k best per query are shuffled.
+    Repeated queries or rows are kept.
     """
-    q = queries.where(F.col(vec).isNotNull() & F.col(left).isNotNull()).select(F.col(left).cast("string").alias("q"), normalised(F.col(vec)).alias("v"))
-    r = rows.where(F.col(vec).isNotNull() & F.col(right).isNotNull()).select(F.col(right).cast("string").alias("r"), normalised(F.col(vec)).alias("v"))
-    best = None
-    it, more = q.toLocalIterator(prefetchPartitions=True), True
-    while more:
-        block = []
-        while len(block) < BLOCK and (row := next(it, None)) is not None:
-            block.append(row)
-        more = len(block) == BLOCK
-        if not block:
-            break
-        ids, mat = [b.q for b in block], np.array([b.v for b in block], dtype=np.float64)
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, mat=mat) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.stack(pdf["v"].to_numpy())
-                names = pdf["r"].to_numpy()
-                s = np.round(mat @ m.T, DIGITS) + 0.0
-                order = np.argsort(names, kind="stable")
-                s = s[:, order]
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"q": np.repeat(ids, top.shape[1]), "r": names[order][top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
-
-        part = r.mapInPandas(run, "q string, r string, score double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = r.select(F.lit("").alias("q"), "r", F.lit(0.0).alias("score")).where("false")
-    return topk(best, "q", "r", k=k).select(F.col("q").alias(left), F.col("r").alias(right), "score", "rank")
+    side = lambda df, key, n: df.where(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias(n), normalised(F.col(vec)).alias("v"))
+    q, r = side(queries, left, "q"), side(rows, right, "r")
+    nq = max(1, -(-q.count() // block))
+    nr = max(1, -(-r.count() // block))
+    put = lambda df, key, n, other: df.withColumn("b", F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    a = put(q, "q", nq, nr).select(F.col("b").alias("bq"), F.col("o").alias("br"), "q", "v")
+    b = put(r, "r", nr, nq).select(F.col("o").alias("bq"), F.col("b").alias("br"), "r", "v")
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"q": [], "r": [], "score": []}).astype({"q": str, "r": str, "score": float})
+        y = y.sort_values("r", kind="stable")
+        names = y["r"].to_numpy()
+        s = np.round(np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T, DIGITS) + 0.0
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"q": np.repeat(x["q"].to_numpy(), top.shape[1]), "r": names[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+
+    pairs = a.groupBy("bq", "br").cogroup(b.groupBy("bq", "br")).applyInPandas(best, "q string, r string, score double")
+    return topk(pairs, "q", "r", k=k).select(F.col("q").alias(left), F.col("r").alias(right), "score", "rank")

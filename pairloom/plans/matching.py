@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators import evaluate, explain, fairness, gnn, graph, lexical, rank, report, text, vectors
-from pairloom.session import table
+from pairloom.session import cut, stored as stored_table, table
 
 ATTRIBUTES = ["Gender", "Ethnicity"]
 DIMS = 4
+#: Epochs of the learning queries at most; early stopping may end them sooner.
+EPOCHS = 4
 
 
 def resumes(spark, d):
@@ -63,9 +66,9 @@ def stored(spark, d):
 
 
 def other(spark, d):
-    """A second ranking of the stored pairs: by the mean of a pair's scores, those of one spelling of the source."""
-    t = table(spark, d, "job_to_resumes_top10_tfidf").where("source = 'tfidf'").select(F.trim("job_id").alias("job_id"), F.trim("resume_id").alias("resume_id"), "score").where("job_id IS NOT NULL AND resume_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
-    return rank.topk(t.groupBy("job_id", "resume_id").agg(F.avg("score").alias("score")), "job_id", "resume_id").select("job_id", "resume_id", "score", "rank")
+    """A second ranking of the same pairs: by the least of a pair's scores instead of the best, all spellings of the source alike."""
+    t = table(spark, d, "job_to_resumes_top10_tfidf").select(F.trim("job_id").alias("job_id"), F.trim("resume_id").alias("resume_id"), "score").where("job_id IS NOT NULL AND resume_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)")
+    return rank.topk(t.groupBy("job_id", "resume_id").agg(F.min("score").alias("score")), "job_id", "resume_id").select("job_id", "resume_id", "score", "rank")
 
 
 def stored_top10(spark, d):
@@ -77,7 +80,7 @@ def method_overlap_at10(spark, d):
 
 
 def consensus_proxy(spark, d):
-    return rank.consensus({"stored": stored(spark, d), "tfidf_spelling": other(spark, d)})
+    return rank.consensus({"stored": stored(spark, d), "least": other(spark, d)})
 
 
 def coverage_full_k(spark, d):
@@ -202,8 +205,8 @@ def zero_skill_counts(spark, d):
 
 
 def missing_skills_topk(spark, d):
-    """Per stored pair of the first three places, the job's skills that the resume lacks, sorted and joined by bars."""
-    top = stored(spark, d).where("rank <= 3").select("job_id", "resume_id", "rank")
+    """Per stored pair of the first ten places, the job's skills that the resume lacks, sorted and joined by bars."""
+    top = stored(spark, d).select("job_id", "resume_id", "rank")
     j = top.join(job_skills(spark, d).select(F.col("id").alias("job_id"), F.col("skills").alias("js")), "job_id").join(resume_skills(spark, d).select(F.col("id").alias("resume_id"), F.col("skills").alias("rs")), "resume_id")
     return j.select("job_id", "resume_id", "rank", F.array_join(F.array_sort(F.array_except("js", "rs")), "|").alias("missing_skills"))
 
@@ -233,7 +236,7 @@ def _x0(spark, d):
 
 
 def lightgcn_propagate_2hop(spark, d):
-    return graph.propagate(graph.adjacency(_edges(spark, d)), _x0(spark, d), 2)
+    return graph.propagate(graph.adjacency(_edges(spark, d)), graph.initial_vectors(graph.degrees(_edges(spark, d)), DIMS), DIMS, 2)
 
 
 def sage_mean_aggregate(spark, d):
@@ -264,29 +267,45 @@ def cosine_topk(spark, d, forward):
     return vectors.cosine_topk(_vectors(spark, d, True, True), _vectors(spark, d, False), "resume_id", "job_id")
 
 
-def node2vec_topk(spark, d):
-    """The ten nearest resumes of every hundredth job of the interaction graph by walk vectors."""
-    v = graph.node2vec(_edges(spark, d))
+def _learnt_topk(spark, d, v, forward=True):
+    """The ten nearest of the other side: for jobs (or resumes) that stand in a row whose row_num is divisible by 100."""
     side = lambda p, c: v.where(F.col("node").startswith(p)).select(F.substring("node", len(p) + 1, 200).alias(c), "vec")
-    return vectors.cosine_topk(side("job_", "job_id").where(F.pmod(F.xxhash64("job_id"), F.lit(100)) == 0), side("resume_", "resume_id"), "job_id", "resume_id")
+    name, key, left, right = ("postings_clean", "job_id", "job", "resume") if forward else ("resume_clean", "ID", "resume", "job")
+    q = query_ids(spark, d, name, key).withColumnRenamed("id", f"{left}_id")
+    return vectors.cosine_topk(side(f"{left}_", f"{left}_id").join(q, f"{left}_id", "left_semi"), side(f"{right}_", f"{right}_id"), f"{left}_id", f"{right}_id")
 
 
-def _learnt_topk(v):
-    side = lambda p, c: v.where(F.col("node").startswith(p)).select(F.substring("node", len(p) + 1, 200).alias(c), "vec")
-    return vectors.cosine_topk(side("job_", "job_id").where(F.pmod(F.xxhash64("job_id"), F.lit(100)) == 0), side("resume_", "resume_id"), "job_id", "resume_id")
+_TRAINED: dict[tuple, DataFrame] = {}
+
+
+def _trained(spark, d, name, make):
+    """Node vectors of one method and data folder, trained once per application, since both directions use them."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _TRAINED:
+        _TRAINED[key] = stored_table(make())
+    return _TRAINED[key]
+
+
+def node2vec_topk(spark, d, forward=True):
+    """By vectors of biased walks over the interaction graph, with the reference's CPU settings."""
+    return _learnt_topk(spark, d, _trained(spark, d, "node2vec", lambda: graph.node2vec(_edges(spark, d))), forward)
 
 
-def lightgcn_topk(spark, d):
-    return _learnt_topk(gnn.to_vectors(gnn.lightgcn(pairs(spark, d), dims=8, steps=2)[0])).withColumn("source", F.lit("lightgcn"))
+def lightgcn_topk(spark, d, forward=True):
+    """By LightGCN with validation on labelled jobs and early stopping."""
+    v = _trained(spark, d, "lightgcn", lambda: gnn.lightgcn(pairs(spark, d), labels(spark, d), epochs=EPOCHS)[0])
+    return _learnt_topk(spark, d, v, forward).withColumn("source", F.lit("lightgcn"))
 
 
-def graphsage_topk(spark, d):
-    return _learnt_topk(gnn.graphsage(pairs(spark, d), dims=8, steps=1)[0]).withColumn("source", F.lit("graphsage"))
+def graphsage_topk(spark, d, forward=True):
+    """By GraphSAGE with validation on labelled jobs and early stopping."""
+    v = _trained(spark, d, "graphsage", lambda: gnn.graphsage(pairs(spark, d), labels(spark, d), steps=EPOCHS)[0])
+    return _learnt_topk(spark, d, v, forward).withColumn("source", F.lit("graphsage"))
 
 
 def _surrogate(spark, d):
     f = explain.pair_features(labels(spark, d), stored(spark, d), other(spark, d), resumes(spark, d), jobs(spark, d))
-    return explain.surrogate(f.where("y IS NOT NULL").cache())
+    return explain.surrogate(cut(f.where("y IS NOT NULL")))
 
 
 def surrogate_shap_global(spark, d):
@@ -297,6 +316,13 @@ def surrogate_shap_pairs(spark, d):
     return _surrogate(spark, d)[0]
 
 
+def surrogate_shap_job(spark, d):
+    """The features of the job with most labelled pairs."""
+    p = cut(_surrogate(spark, d)[0])
+    most = p.groupBy("job_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "job_id").first()
+    return report.shap_of_job(p, most[0] if most else "")
+
+
 def html_strip_simple(spark, d):
     return table(spark, d, "resume_clean").select("row_num", text.strip_html_simple(F.col("Resume_str")).alias("plain"))
 
@@ -327,7 +353,7 @@ def jobs_index(spark, d):
 
 def _metrics(spark, d):
     a = evaluate.evaluate(stored(spark, d), labels(spark, d), "all", "tfidf")
-    b = evaluate.evaluate(other(spark, d), labels(spark, d), "all", "bm25")
+    b = evaluate.evaluate(other(spark, d), labels(spark, d), "all", "default")
     return report.normalised_metrics(a.unionByName(b))
 
 
@@ -398,3 +424,74 @@ def ranks_by_order(spark, d):
 
 
 QUERIES |= {f.__name__: f for f in (filtered_shortlist, top_labels, ranks_by_order)}
+
+
+# A dictionary of skills with several words and with signs.
+SKILLS = ("c", "c++", "c#", "r", "go", ".net", "asp.net", "node.js", "java", "javascript", "python", "sql", "machine learning", "mechanical engineering", "graphic design", "food science", "engineering", "data entry", "price list", "price list ideas", "lesson plan", "shift plan", "stock count", "sensor array", "ticket queue", "customer service", "project management", "power shell", "autocad", "excel", "sap", "jira", "linux", "docker", "kafka", "spark", "tableau", "matlab", "git", "on call duty", "call", "award winning")
+
+
+def skill_matches_signs(spark, d):
+    """The matches of a dictionary with signs and several words in the postings, in order of place."""
+    dictionary = spark.createDataFrame([(x,) for x in SKILLS], "skill string")
+    return text.skill_matches(jobs(spark, d), dictionary).select("id", F.posexplode("skills").alias("place", "skill"))
+
+
+def tpr_diff(spark, d):
+    return fairness.tpr_difference(tpr_by_group(spark, d))
+
+
+def parity_report(spark, d):
+    return fairness.parity_report(parity_audit(spark, d), stored(spark, d))
+
+
+def missing_skills_resume(spark, d):
+    """Per resume its ten best jobs among the stored pairs, with the job's skills that it lacks."""
+    top = rank.topk(candidates(spark, d).select("job_id", "resume_id", "score"), "resume_id", "job_id")
+    j = top.join(job_skills(spark, d).select(F.col("id").alias("job_id"), F.col("skills").alias("js")), "job_id").join(resume_skills(spark, d).select(F.col("id").alias("resume_id"), F.col("skills").alias("rs")), "resume_id")
+    return j.select("resume_id", "job_id", "rank", F.array_join(F.array_sort(F.array_except("js", "rs")), "|").alias("missing_skills"))
+
+
+def job_ids_in_ranking(spark, d):
+    return report.job_ids_in_ranking(table(spark, d, "job_to_resumes_top10_tfidf"))
+
+
+def options_in_ranking(spark, d):
+    return report.options_in_ranking(jobs_index(spark, d), stored(spark, d))
+
+
+def category_counts(spark, d):
+    return report.value_counts(table(spark, d, "resume_clean"), "Category")
+
+
+def corpus_consistency(spark, d):
+    return report.consistency(jobs(spark, d), resumes(spark, d), labels(spark, d))
+
+
+def graph_from_cached_skills(spark, d):
+    """Node and edge counts of the graph rebuilt from stored skill maps."""
+    r, j = stored_table(resume_skills(spark, d)), stored_table(job_skills(spark, d))
+    nodes, edges = graph.graph_of_cached(resumes(spark, d), jobs(spark, d), r.where("size(skills) > 0"), j.where("size(skills) > 0"))
+    return nodes.groupBy("node_type").agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("node_type")).agg(F.count("*").alias("n"))).withColumnRenamed("node_type", "part")
+
+
+def no_embedding(spark, d):
+    """Resumes and jobs without a vector: those without any edge of the skill graph."""
+    nodes, edges = _graph(spark, d)
+    return graph.without_embeddings(nodes, edges.select(F.col("src").alias("node")))
+
+
+def run_manifest(spark, d):
+    """The facts of a run as (name, value)."""
+    nodes, edges = _graph(spark, d)
+    one = lambda name, df: df.select(F.lit(name).alias("name"), F.col(df.columns[0]).cast("string").alias("value"))
+    n = F.count("*").alias("n")
+    zero = zero_skill_counts(spark, d)
+    parts = [one("nodes", nodes.agg(n)), one("edges", edges.agg(n)), one("no_embedding", no_embedding(spark, d).agg(n)), one("graph_hash", graph.edge_hash(edges)), *[one(f"zero_skill_{w}s", zero.where(f"which = '{w}'").select("without_skills")) for w in ("resume", "job")]]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+QUERIES |= {f.__name__: f for f in (skill_matches_signs, tpr_diff, parity_report, missing_skills_resume, job_ids_in_ranking, options_in_ranking, category_counts, corpus_consistency, graph_from_cached_skills, no_embedding, run_manifest, surrogate_shap_job)}
+QUERIES |= dict(_named(f"{f.__name__.removesuffix('_topk')}_resume_to_jobs_topk", f, False) for f in (node2vec_topk, lightgcn_topk, graphsage_topk))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pairloom.operators.text import BLOCKS, DROPPED, ENTITIES, REFERENCE
+from pairloom.plans.matching import SKILLS as SIGNED_SKILLS
+
 TOK2, TOK1 = r"[\p{L}\p{N}_]{2,}", r"[\p{L}\p{N}_]+"
 
 RES = "res AS (SELECT trim(ID) AS id, arg_min(coalesce(Resume_str, ''), row_num) AS text FROM resume_clean WHERE trim(ID) <> '' GROUP BY 1)"
@@ -12,7 +15,7 @@ _PAIRS = "SELECT trim(job_id) AS job_id, trim(resume_id) AS resume_id, {agg}(sco
 PAIRS = "prs AS (" + _PAIRS.format(agg="max", more="") + ")"
 _TOP = "SELECT job_id, resume_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY job_id ORDER BY round(score, 6) DESC, resume_id) AS INTEGER) AS rank FROM {src} QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY round(score, 6) DESC, resume_id) <= 10"
 STORED = PAIRS + ", stored AS (" + _TOP.format(src="prs") + ")"
-OTHER = "prs2 AS (" + _PAIRS.format(agg="avg", more=" AND source = 'tfidf'") + "), other AS (" + _TOP.format(src="prs2") + ")"
+OTHER = "prs2 AS (" + _PAIRS.format(agg="min", more="") + "), other AS (" + _TOP.format(src="prs2") + ")"
 LABELS = r"""lab AS (SELECT trim(job_id, E' \t') AS job_id, trim(resume_id, E' \t') AS resume_id, arg_max(CASE WHEN CAST(label AS VARCHAR) IN ('1', 'true', 'True') THEN 1 ELSE 0 END, label_row) AS y
   FROM labels_clean_top10_strict WHERE label IS NOT NULL AND trim(job_id, E' \t') <> '' AND trim(resume_id, E' \t') <> '' GROUP BY 1, 2)"""
 
@@ -138,17 +141,39 @@ s AS (SELECT CAST(a.vec_id AS VARCHAR) AS l, CAST(b.vec_id AS VARCHAR) AS r, rou
 SELECT l AS {left}, r AS {right}, score, CAST(row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) <= 10"""
 
 
-_ENT = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&rsquo;", "’"), ("&mdash;", "—"), ("&eacute;", "é"), ("&amp;", "&")]
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_NAMES = "map([" + ", ".join(_Q(k) for k in ENTITIES) + "], [" + ", ".join(_Q(v) for v in ENTITIES.values()) + "])"
+
+
+def _unescape(c: str) -> str:
+    number = "CASE WHEN starts_with(lower(p), '&#x') THEN CAST('0x' || rtrim(p[4:], ';') AS BIGINT) ELSE CAST(rtrim(p[3:], ';') AS BIGINT) END"
+    return rf"array_to_string(list_transform(regexp_extract_all({c}, '{REFERENCE}'), lambda p: CASE WHEN NOT starts_with(p, '&') OR length(p) < 3 THEN p WHEN starts_with(p, '&#') THEN chr(CAST({number} AS INT)) ELSE coalesce(m[p[2:]], p) END), '')"
+
+
+ENT = f"ent AS MATERIALIZED (SELECT {_NAMES} AS m)"
+
+
+def _squeeze(c: str) -> str:
+    return rf"trim(regexp_replace({c}, '[ \t\n\v\f\r]+', ' ', 'g'))"
 
 
 def _strip(c: str) -> str:
-    for a, b in _ENT:
-        c = f"replace({c}, '{a}', '{b}')"
-    return rf"trim(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g'))"
+    return _squeeze(rf"regexp_replace({_unescape(c)}, '<[^>]+>', ' ', 'g')")
+
+
+def _parsed(c: str) -> str:
+    """The parser form for well-formed text: dropped elements and comments go, block tags part words, other tags vanish."""
+    x = _unescape(c)
+    for t in sorted(DROPPED):
+        x = rf"regexp_replace({x}, '(?is)<{t}\b[^>]*>.*?</{t}\s*>', '', 'g')"
+    x = rf"regexp_replace({x}, '(?s)<!--.*?-->|<!\[.*?\]\s*\]\s*>', '', 'g')"
+    x = rf"regexp_replace({x}, '(?i)<(?:{'|'.join(sorted(BLOCKS))})(?:[\s/][^<>]*)?>|</(?:{'|'.join(sorted(BLOCKS))})(?:[\s/][^>]*)?>', ' ', 'g')"
+    x = rf"regexp_replace({x}, '<[A-Za-z][^<>]*>|</[A-Za-z][^>]*>', '', 'g')"
+    return rf"trim(regexp_replace({_unescape(x)}, '[\s\v\x{{85}}\x1c-\x1f\p{{Z}}]+', ' ', 'g'))"
 
 
 _DESC = "trim(concat_ws(' ', coalesce(description, ''), coalesce(skills_desc, '')))"
-CLEAN = f"""c0 AS (SELECT *, {_DESC} AS d0 FROM postings_clean), c1 AS (SELECT *, CASE WHEN contains(d0, '<') OR contains(d0, '&lt;') THEN {_strip('d0')} ELSE d0 END AS d1, trim(coalesce(job_id, '')) AS k FROM c0),
+CLEAN = ENT + f""", c0 AS (SELECT *, {_DESC} AS d0 FROM postings_clean), c1 AS (SELECT c0.*, CASE WHEN contains(d0, '<') OR contains(d0, '&lt;') THEN {_parsed('d0')} ELSE d0 END AS d1, trim(coalesce(job_id, '')) AS k FROM c0, ent),
 c2 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row_num) AS rn FROM c1 WHERE length(d1) >= 40)"""
 _CELLS = "concat_ws(' ', coalesce(ID, ''), coalesce(Resume_str, ''), coalesce(Category, ''))"
 REPAIR = rf"""i0 AS (SELECT row_num + 1 AS n, trim(coalesce(ID, '')) AS old, lower(trim(coalesce(ID, ''))) AS lo, {_CELLS} AS cells, coalesce(Resume_str, '') AS txt, concat_ws('||', coalesce(ID, ''), coalesce(Resume_str, ''), coalesce(Category, '')) AS bars FROM resume_clean),
@@ -158,16 +183,17 @@ i2 AS (SELECT n, old, bars, CASE WHEN NOT bad THEN old WHEN dig <> '' THEN dig W
 i3 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY n) = 1 THEN id ELSE id || '_' || substr(sha1(bars || '@' || n), 1, 6) END AS id2 FROM i2),
 rep AS (SELECT n AS row_index, substr(old, 1, 120) AS old_id, CASE WHEN row_number() OVER (PARTITION BY id2 ORDER BY n) = 1 THEN id2 ELSE id2 || 'x' END AS new_id, action FROM i3)"""
 
-_MET = """m AS (SELECT 'tfidf' AS method, p_at_k AS p, ndcg_at_k AS ndcg, map_at_k AS map, jobs_scored FROM ({a}) UNION ALL SELECT 'bm25', p_at_k, ndcg_at_k, map_at_k, jobs_scored FROM ({b}))"""
+_MET = """m AS (SELECT 'tfidf' AS method, p_at_k AS p, ndcg_at_k AS ndcg, map_at_k AS map, jobs_scored FROM ({a}) UNION ALL SELECT 'default', p_at_k, ndcg_at_k, map_at_k, jobs_scored FROM ({b}))"""
 METRICS = "WITH " + _MET.format(a=eval_sql("all"), b=eval_sql("all").replace(STORED, OTHER + ", stored AS (SELECT * FROM other)"))
 
+HASH = "eh AS (SELECT DISTINCT md5(least(src, dst) || '-' || greatest(src, dst)) AS h FROM e), hashed AS (SELECT md5(CAST(count(*) AS VARCHAR) || " + " || ".join(f"'|' || CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 7 * i}, 7) AS BIGINT)), 0) AS VARCHAR)" for i in range(4)) + ") AS graph_hash FROM eh)"
 ORACLE = {
     "tfidf_job_to_resumes_top10": tfidf_sql("job"), "tfidf_resume_to_jobs_top10": tfidf_sql("resume"), "bm25_job_to_resumes_top10": bm25_sql("job"), "bm25_resume_to_jobs_top10": bm25_sql("resume"),
     "tfidf_idf_table": with_(RES, JOBS, f"w AS (SELECT DISTINCT k, id, t FROM (SELECT 'r' AS k, id, unnest(regexp_extract_all(lower(text), '{TOK2}')) AS t FROM res UNION ALL SELECT 'j', id, unnest(regexp_extract_all(lower(text), '{TOK2}')) FROM job))", "n AS (SELECT (SELECT count(*) FROM res) + (SELECT count(*) FROM job) AS n)") + "SELECT t AS token, count(*) AS df, round(ln((1.0 + n) / (1.0 + count(*))) + 1.0, 6) AS idf FROM w, n GROUP BY t, n",
     "bm25_corpus_stats": with_(RES, f"t AS (SELECT unnest(regexp_extract_all(lower(text), '{TOK1}')) AS t FROM res)") + "SELECT (SELECT count(*) FROM res) AS docs, count(*) AS tokens, count(DISTINCT t) AS vocabulary, round(count(*) / CAST((SELECT count(*) FROM res) AS DOUBLE), 6) AS avgdl FROM t",
     "stored_top10": with_(STORED) + "SELECT * FROM stored",
     "method_overlap_at10": with_(STORED, OTHER) + "SELECT (SELECT count(*) FROM stored JOIN other USING (job_id, resume_id)) AS common, count(*) AS jobs, round((SELECT count(*) FROM stored JOIN other USING (job_id, resume_id)) / (10.0 * count(*)), 6) AS overlap FROM (SELECT job_id FROM stored INTERSECT SELECT job_id FROM other)",
-    "consensus_proxy": with_(STORED, OTHER, "o AS (SELECT (SELECT count(*) FROM stored JOIN other USING (job_id, resume_id)) / (10.0 * count(*)) AS v FROM (SELECT job_id FROM stored INTERSECT SELECT job_id FROM other))") + "SELECT 'stored' AS source, round(v, 4) AS p_at_10 FROM o UNION ALL SELECT 'tfidf_spelling', round(v, 4) FROM o",
+    "consensus_proxy": with_(STORED, OTHER, "o AS (SELECT (SELECT count(*) FROM stored JOIN other USING (job_id, resume_id)) / (10.0 * count(*)) AS v FROM (SELECT job_id FROM stored INTERSECT SELECT job_id FROM other))") + "SELECT 'stored' AS source, round(v, 4) AS p_at_10 FROM o UNION ALL SELECT 'least', round(v, 4) FROM o",
     "coverage_full_k": with_(STORED) + "SELECT count(*) FILTER (WHERE n >= 10) AS \"full\", count(*) AS jobs, round(avg(CASE WHEN n >= 10 THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM (SELECT job_id, count(*) AS n FROM stored GROUP BY 1)",
     "shortlist_delta_rank": with_(STORED, OTHER) + "SELECT s.job_id, s.resume_id, s.rank AS rank_pre, o.rank AS rank_post, o.rank - s.rank AS delta FROM stored s LEFT JOIN other o USING (job_id, resume_id)",
     "eval_labelled_jobs": eval_sql("labelled"), "eval_all_jobs_pooled": eval_sql("all"), "eval_total_positives": eval_sql("positives"), "precision_at_k": eval_sql("precision"),
@@ -187,9 +213,9 @@ SELECT label, CAST(label IN ('1', 'true', 'True') AS INTEGER) AS rule_exact, coa
     "skill_edges": "WITH " + GRAPH + " SELECT id AS resume_id, skill FROM re",
     "graph_nodes_edges": "WITH " + GRAPH + " SELECT 'resume' AS part, count(*) AS n FROM res UNION ALL SELECT 'job', count(*) FROM job UNION ALL SELECT 'skill', count(DISTINCT dst) FROM e UNION ALL SELECT split_part(src, '_', 1) || '-skill', count(*) FROM e GROUP BY 1",
     "graph_degree": "WITH " + GRAPH + " SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node",
-    "graph_hash": "WITH " + GRAPH + ", h AS (SELECT least(src, dst) || '-' || greatest(src, dst) AS x FROM e), p AS (SELECT substr(md5(x), 1, 2) AS part, md5(string_agg(x, ',' ORDER BY x)) AS h FROM h GROUP BY 1) SELECT md5(string_agg(h, ',' ORDER BY part)) AS graph_hash FROM p",
+    "graph_hash": "WITH " + GRAPH + ", " + HASH + " SELECT graph_hash FROM hashed",
     "zero_skill_counts": "WITH " + GRAPH + " SELECT 'resume' AS which, (SELECT count(*) FROM res) AS entities, (SELECT count(*) FROM res WHERE id NOT IN (SELECT id FROM re)) AS without_skills UNION ALL SELECT 'job', (SELECT count(*) FROM job), (SELECT count(*) FROM job WHERE id NOT IN (SELECT id FROM je))",
-    "missing_skills_topk": "WITH " + GRAPH + ", " + STORED + " SELECT s.job_id, s.resume_id, s.rank, coalesce((SELECT string_agg(skill, '|' ORDER BY skill) FROM je WHERE je.id = s.job_id AND skill NOT IN (SELECT skill FROM re WHERE re.id = s.resume_id)), '') AS missing_skills FROM stored s WHERE rank <= 3 AND s.job_id IN (SELECT id FROM job) AND s.resume_id IN (SELECT id FROM res)",
+    "missing_skills_topk": "WITH " + GRAPH + ", " + STORED + " SELECT s.job_id, s.resume_id, s.rank, coalesce((SELECT string_agg(skill, '|' ORDER BY skill) FROM je WHERE je.id = s.job_id AND skill NOT IN (SELECT skill FROM re WHERE re.id = s.resume_id)), '') AS missing_skills FROM stored s WHERE s.job_id IN (SELECT id FROM job) AND s.resume_id IN (SELECT id FROM res)",
     "interactions_union": "WITH " + EDGES + " SELECT job_id, resume_id FROM ia",
     "int_index": "WITH " + EDGES + " SELECT resume_id, row_number() OVER (ORDER BY resume_id) - 1 AS idx FROM (SELECT DISTINCT resume_id FROM ia)",
     "normalized_adjacency": "WITH " + EDGES + " SELECT src, dst, round(w, 6) AS w FROM ad",
@@ -201,7 +227,8 @@ v AS (SELECT a, b, c, dim, {_seeded('a', 'dim')} AS u, {_seeded('b', 'dim')} AS
 s AS (SELECT sum(u * (p - n)) AS s, sum(u * u + p * p + n * n) AS q FROM v GROUP BY a, b, c)
 SELECT round(avg(-(least(s, 0) - ln(1 + exp(-abs(s))))) + 1e-4 * sum(q) / count(*), 6) AS loss FROM s""",
     "cosine_topk_forward": _cosine(True), "cosine_topk_reverse": _cosine(False),
-    "html_strip_simple": f"SELECT row_num, {_strip('Resume_str')} AS plain FROM resume_clean",
+    "html_strip_simple": f"WITH {ENT} SELECT row_num, {_strip('Resume_str')} AS plain FROM resume_clean, ent",
+    "html_strip_parser": f"WITH {ENT} SELECT row_num, {_parsed('Resume_str')} AS plain FROM resume_clean, ent",
     "id_repair": "WITH " + REPAIR + " SELECT * FROM rep", "id_repair_summary": "WITH " + REPAIR + " SELECT action, count(*) AS n FROM rep GROUP BY action",
     "jobs_clean": "WITH " + CLEAN + " SELECT k AS job_id, title, d1 AS description, company_id FROM c2 WHERE k = '' OR rn = 1",
     "jobs_clean_counts": "WITH " + CLEAN + " SELECT (SELECT count(*) FROM c1) AS rows_in, (SELECT count(*) FROM c1 WHERE d1 = '') AS dropped_empty, (SELECT count(*) FROM c1 WHERE d1 <> '' AND length(d1) < 40) AS dropped_short, count(*) FILTER (WHERE k <> '' AND rn > 1) AS deduped, count(*) FILTER (WHERE k = '' OR rn = 1) AS rows_out FROM c2",
@@ -219,3 +246,36 @@ ORACLE |= {
     "top_labels": "WITH b AS (SELECT job_id, resume_id, max(coalesce(match_percent, 0.0)) AS match_percent FROM labels_clean_top10_strict WHERE job_id IS NOT NULL AND resume_id IS NOT NULL GROUP BY 1, 2) SELECT *, CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY match_percent DESC, resume_id) <= 10 THEN 1 ELSE 0 END AS y FROM b",
     "ranks_by_order": "SELECT job_id, resume_id, CAST(max(r) AS INTEGER) AS rank FROM (SELECT job_id, resume_id, row_number() OVER (PARTITION BY job_id ORDER BY row_num) AS r FROM job_to_resumes_top10_tfidf WHERE job_id IS NOT NULL AND resume_id IS NOT NULL) GROUP BY 1, 2",
 }
+
+_SKILL_LIST = ", ".join(f"('{x}')" for x in SIGNED_SKILLS)
+_NODES = "nodes AS (SELECT 'resume' AS which, id FROM res UNION SELECT 'job', id FROM job), noem AS (SELECT which, id FROM nodes WHERE which || '_' || id NOT IN (SELECT src FROM e))"
+_TPR = "tp AS (SELECT s.grp, avg(CASE WHEN l.y = 1 THEN s.y_pred END) AS r FROM sel s JOIN lab l USING (job_id, resume_id) GROUP BY 1)"
+ORACLE |= {
+    # a match must stand on its own as stated in the operator; the leftmost, then longest match goes on where the last one ended
+    "skill_matches_signs": rf"""WITH RECURSIVE {JOBS}, sk(s) AS (VALUES {_SKILL_LIST}),
+d AS (SELECT id, regexp_replace(regexp_replace(lower(text), '[-_/]', ' ', 'g'), '[ \t\n\v\f\r]+', ' ', 'g') AS t FROM job),
+h AS (SELECT id, t, s, unnest(string_split(t, s)) AS piece, generate_subscripts(string_split(t, s), 1) AS i, len(string_split(t, s)) AS n FROM d JOIN sk ON contains(t, s)),
+o AS (SELECT id, t, s, i, n, sum(length(piece)) OVER (PARTITION BY id, s ORDER BY i) + (i - 1) * length(s) AS a FROM h),
+x AS (SELECT id, s, CAST(a AS BIGINT) AS a, substr(t, CAST(a AS BIGINT), 1) AS l, substr(t, CAST(a AS BIGINT) + length(s) + 1, 1) AS r FROM o WHERE i < n),
+m AS (SELECT id, s, a, a + length(s) AS b FROM x WHERE
+  CASE WHEN regexp_full_match(s, '[a-z0-9].*[a-z0-9]|[a-z0-9]') THEN NOT (a > 0 AND regexp_full_match(l, '[\p{{L}}\p{{N}}_]')) AND NOT regexp_full_match(r, '[\p{{L}}\p{{N}}_]')
+  WHEN regexp_full_match(s, '.*[a-z0-9]') THEN NOT regexp_full_match(r, '[A-Za-z_]') ELSE NOT regexp_full_match(r, '[A-Za-z_]') AND NOT (a > 0 AND regexp_full_match(l, '[\p{{L}}\p{{N}}_]')) END),
+w AS (SELECT id, CAST(0 AS BIGINT) AS e, CAST(NULL AS VARCHAR) AS s, CAST(-1 AS BIGINT) AS a FROM d UNION ALL
+  SELECT id, b, s, a FROM (SELECT w.id, m.b, m.s, m.a, row_number() OVER (PARTITION BY w.id ORDER BY m.a, m.b DESC) AS k FROM w JOIN m ON m.id = w.id AND m.a >= w.e) WHERE k = 1)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY a) - 1 AS INTEGER) AS place, skill FROM (SELECT id, s AS skill, min(a) AS a FROM w WHERE s IS NOT NULL GROUP BY 1, 2)""",
+    "tpr_diff": with_(STORED, POP, LABELS, _sel("stored"), _TPR) + "SELECT round(CASE WHEN count(r) > 1 THEN max(r) - min(r) ELSE 0.0 END, 6) AS tpr_diff FROM (SELECT round(r, 6) AS r FROM tp)",
+    "parity_report": "WITH " + _parity(False) + """, fk AS (SELECT count(*) AS jobs, coalesce(sum(CASE WHEN n >= 10 THEN 1 ELSE 0 END), 0) AS f FROM (SELECT job_id, count(*) AS n FROM stored GROUP BY 1)),
+su AS (SELECT attribute, coalesce(min(parity_ratio), 1.0) AS r, coalesce(min(parity_diff_pp), 0.0) AS p FROM audit GROUP BY 1),
+al AS (SELECT attribute, "group", resume_count, rec_count, parity_ratio, parity_diff_pp, note FROM audit
+  UNION ALL SELECT attribute, '__SUMMARY__', NULL, NULL, r, p, 'rule_80_pass=' || CASE WHEN r >= 0.8 THEN 'true' ELSE 'false' END || '; jobs_full_k=' || printf('%.1f', 100.0 * f / jobs) || '% (' || f || '/' || jobs || ')' FROM su, fk)
+SELECT *, CAST(row_number() OVER (PARTITION BY attribute ORDER BY resume_count DESC NULLS LAST, "group") AS INTEGER) AS place FROM al""",
+    "missing_skills_resume": "WITH " + GRAPH + ", " + PAIRS + ", rk AS (SELECT resume_id, job_id, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY round(score, 6) DESC, job_id) AS INTEGER) AS rank FROM prs QUALIFY row_number() OVER (PARTITION BY resume_id ORDER BY round(score, 6) DESC, job_id) <= 10) SELECT s.resume_id, s.job_id, s.rank, coalesce((SELECT string_agg(skill, '|' ORDER BY skill) FROM je WHERE je.id = s.job_id AND skill NOT IN (SELECT skill FROM re WHERE re.id = s.resume_id)), '') AS missing_skills FROM rk s WHERE s.job_id IN (SELECT id FROM job) AND s.resume_id IN (SELECT id FROM res)",
+    "job_ids_in_ranking": "SELECT DISTINCT trim(job_id) AS job_id FROM job_to_resumes_top10_tfidf WHERE trim(job_id) <> ''",
+    "options_in_ranking": "WITH ix AS (" + ORACLE["jobs_index"] + "), " + STORED + " SELECT * FROM ix WHERE job_id IN (SELECT job_id FROM stored)",
+    "category_counts": "SELECT Category AS value, count(*) AS n FROM resume_clean GROUP BY 1",
+    "corpus_consistency": with_(LABELS, RES, JOBS) + """SELECT 'labelled_jobs' AS name, count(DISTINCT job_id) AS n, count(DISTINCT job_id) > 0 AS ok FROM lab UNION ALL SELECT 'labelled_resumes', count(DISTINCT resume_id), count(DISTINCT resume_id) > 0 FROM lab
+UNION ALL SELECT 'missing_resumes', count(DISTINCT resume_id), count(DISTINCT resume_id) = 0 FROM lab WHERE resume_id NOT IN (SELECT id FROM res) UNION ALL SELECT 'missing_jobs', count(DISTINCT job_id), count(DISTINCT job_id) = 0 FROM lab WHERE job_id NOT IN (SELECT id FROM job) UNION ALL SELECT 'resumes', count(*), count(*) >= 10 FROM res""",
+    "graph_from_cached_skills": "WITH " + GRAPH + " SELECT 'resume' AS part, count(*) AS n FROM res UNION ALL SELECT 'job', count(*) FROM job UNION ALL SELECT 'skill', count(DISTINCT dst) FROM e UNION ALL SELECT 'edge', count(*) FROM e",
+    "no_embedding": "WITH " + GRAPH + ", " + _NODES + " SELECT which, id, 'no_embedding' AS reason FROM noem",
+    "run_manifest": "WITH " + GRAPH + ", " + HASH + ", " + _NODES + " SELECT 'nodes' AS name, CAST((SELECT count(*) FROM nodes) + (SELECT count(DISTINCT dst) FROM e) AS VARCHAR) AS value UNION ALL SELECT 'edges', CAST(count(*) AS VARCHAR) FROM e UNION ALL SELECT 'no_embedding', CAST(count(*) AS VARCHAR) FROM noem UNION ALL SELECT 'graph_hash', graph_hash FROM hashed UNION ALL SELECT 'zero_skill_resumes', CAST(count(*) AS VARCHAR) FROM res WHERE id NOT IN (SELECT id FROM re) UNION ALL SELECT 'zero_skill_jobs', CAST(count(*) AS VARCHAR) FROM job WHERE id NOT IN (SELECT id FROM je)",
+}

@@ -36,7 +36,36 @@ def p5_counts(spark, d):
     return refs.orphan_counts(_found5(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_reasons, p5_found, p5_counts)}
+def rejects_report(spark, d):
+    """(which, row_index, id_if_any, reason) of the records that cannot be loaded, with their file's name and the text before the first delimiter."""
+    from pyspark.sql import functions as F
+
+    from pairloom.session import small_side
+
+    raw, files, rules = _p1(spark, d)
+    named = raw.join(small_side(files.select("file_id", "file_name", "delim")), "file_id").select("rec_id", "file_name", F.substring(F.element_at(F.split("rec_text", F.concat(F.lit("\\Q"), F.col("delim"), F.lit("\\E")), 2), 1), 1, 120).alias("id_if_any"))
+    bad = rejects.errors(raw, files, rules).groupBy("rec_id").agg(F.min("reason").alias("reason"))
+    return bad.join(named, "rec_id").select(F.col("file_name").alias("which"), F.col("rec_id").alias("row_index"), "id_if_any", "reason")
+
+
+def csv_dialect_roundtrip(spark, d):
+    """The postings, written once in each dialect and read back by detection: (dialect, row_num, title, description), null as empty text."""
+    from pyspark.sql import functions as F
+
+    from pairloom.session import shared_path
+    from pairloom.sources import csv
+
+    t = table(spark, d, "postings_clean").select("row_num", "title", "description", "company_name")
+    out = None
+    for name, sep in (("comma", ","), ("tab", "\t"), ("semicolon", ";"), ("bar", "|")):
+        path = shared_path(spark, f"csv-{name}")
+        csv.write_csv(t, path, sep=sep)
+        back = csv.read_table(spark, path).select(F.lit(name).alias("dialect"), F.col("row_num").cast("long").alias("row_num"), "title", "description")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_reasons, p5_found, p5_counts, csv_dialect_roundtrip)} | {"rejects": rejects_report}
 
 _CELLS = r"""
 WITH r AS (SELECT rec_id, file_id, rec_text, delim, string_split(header_text, delim) AS names,
@@ -80,6 +109,8 @@ ORACLE = {
     "p1_reasons": _ERRORS + "SELECT file_id, reason, detail, count(*) AS records FROM e GROUP BY ALL",
     "p1_valid": _CELLS + """SELECT rec_id, file_id, id AS ID, txt AS Resume_str, nullif(cat, '') AS Category, nullif(gen, '') AS Gender,
   CAST(nullif(yrs, '') AS INTEGER) AS years_experience, CAST(nullif(upd, '') AS DATE) AS updated_on FROM x WHERE NOT (bad_id OR bad_txt OR bad_yrs OR bad_upd)""",
+    "rejects": _ERRORS + "SELECT file_name AS which, rec_id AS row_index, substr(string_split(rec_text, delim)[1], 1, 120) AS id_if_any, e.reason FROM e JOIN resume_clean_raw USING (rec_id) JOIN resume_clean_files ON resume_clean_files.file_id = resume_clean_raw.file_id",
+    "csv_dialect_roundtrip": "SELECT dialect, row_num, coalesce(title, '') AS title, coalesce(description, '') AS description FROM postings_clean, (VALUES ('comma'), ('tab'), ('semicolon'), ('bar')) v(dialect)",
     "p5_found": _REFS + "SELECT label_row, ref_column, reason FROM found",
     "p5_counts": _REFS + "SELECT target, strftime(ts, '%Y-%m') AS month, reason, count(*) AS orphans FROM found GROUP BY ALL",
 }

@@ -77,12 +77,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether df has at most `rows` rows and about `size` bytes (strings counted, other columns as 8 bytes); reads no more than rows + 1 rows past df's own plan."""
+    """Whether df has at most `rows` rows and about `size` bytes (strings and arrays of numbers counted, other columns as 8 bytes); reads no more than rows + 1 rows past df's own plan."""
     strings = [c for c, t in df.dtypes if t == "string"]
+    arrays = [c for c, t in df.dtypes if t.startswith("array<") and t[6:-1] in ("double", "float", "int", "bigint")]
     rest = 8 * (len(df.columns) - len(strings)) + 16
     width = F.lit(rest)
     for c in strings:
         width = width + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 8
+    for c in arrays:
+        width = width + 8 * F.greatest(F.size(F.col(f"`{c}`")), F.lit(0))
     n, b = df.select(width.cast("long").alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
     return n <= rows and b <= size
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.operators.rank import parse_rank
 from pairloom.operators.report import number_in_text, resolve
-from pairloom.sources.csv import header, detect, read_table
+from pairloom.sources.csv import header, read_table
 
-# Header names of id and score columns, and the bonus by which mapping files are preferred.
-ID_NAMES = ("resume_id", "resumeid", "id", "cv", "cvid", "filename", "file", "resume", "pdf")
-SCORE_NAMES = ("match", "score", "matchpercent", "matchpercentage", "similarity", "label")
-BONUS = (("train.csv", 10), ("train", 3), ("dataset", 1))
+# Header names of id and score columns by slug, and the bonus by which mapping files are preferred (of the name, of the path).
+ID_NAMES = ("candidateid", "resumeid", "id", "filename", "file", "resume")
+SCORE_NAMES = ("match", "matchpercentage", "matchpercent", "score", "target", "label", "percentage")
+NAME_BONUS, PATH_BONUS = {"train.csv": 10}, {"train": 3, "dataset": 1}
 
 
 def one_job(ranking: DataFrame, job_id: str, k: int = 10) -> DataFrame:
@@ -41,33 +39,47 @@ def slug(name: str) -> str:
     return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
 
 
-def find_mapping(folder: str) -> str | None:
-    """The CSV below a folder with an id-like and a score-like header, the best name first; none if there is none."""
+def files_below(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
+    """The paths of the files below a folder of any file system, in order; none where it is missing. Only names are listed."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+        return sorted(r[0] for r in found.select("path").collect())
+    except Exception:  # noqa: BLE001 - a folder that cannot be listed has no files
+        return []
+
+
+def find_mapping(spark: SparkSession, folder: str) -> str | None:
+    """The CSV below a folder with an id-like and a score-like header, the best name first, then the first path; none if there is none."""
     found = []
-    for root, _, files in os.walk(folder):
-        for f in sorted(files):
-            if f.lower().endswith(".csv"):
-                path = os.path.join(root, f)
-                names = {slug(c) for c in header(path, *detect(path))}
-                if names & {slug(n) for n in ID_NAMES} and names & {slug(n) for n in SCORE_NAMES}:
-                    found.append((-sum(b for part, b in BONUS if part in f.lower()), path))
+    for path in files_below(spark, folder):
+        names = {slug(c) for c in header(spark, path)[0]}
+        if names & set(ID_NAMES) and names & set(SCORE_NAMES):
+            low = path.lower()
+            bonus = NAME_BONUS.get(low.rsplit("/", 1)[-1], 0) + sum(b for part, b in PATH_BONUS.items() if part in low)
+            found.append((-bonus, path))
     return min(found)[1] if found else None
 
 
+def pick_column(columns: list[str], names: tuple[str, ...]) -> str | None:
+    """The first of the names that a column has as its slug, else the first column whose slug contains one of them."""
+    by = {slug(c): c for c in reversed(columns)}
+    return next((by[n] for n in names if n in by), next((c for c in columns if any(n in slug(c) for n in names)), None))
+
+
 def match_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(resume_id, match_percent) of a mapping file: `.pdf` is cut from ids, numbers are read out of text, unreadable ones are 0."""
+    """(resume_id, match_percent) of a mapping file: `.pdf` is cut from ids, numbers are read out of text, unreadable ones are 0. A file without such columns gives no rows."""
     df = read_table(spark, path)
-    by = {slug(c): c for c in reversed(df.columns)}
-    rid = next((by[slug(n)] for n in ID_NAMES if slug(n) in by), df.columns[0])
-    score = next((by[slug(n)] for n in SCORE_NAMES if slug(n) in by), None)
-    value = F.coalesce(F.regexp_replace(F.col(f"`{score}`"), r"[^\d.-]", "").try_cast("double"), F.lit(0.0)) if score else F.lit(0.0)
-    return df.select(F.regexp_replace(F.trim(F.col(f"`{rid}`")), r"(?i)\.pdf$", "").alias("resume_id"), value.alias("match_percent")).where("resume_id <> ''")
+    rid, score = pick_column(df.columns, ID_NAMES), pick_column(df.columns, SCORE_NAMES)
+    if rid is None or score is None:
+        return spark.createDataFrame([], "resume_id string, match_percent double")
+    value = F.coalesce(F.regexp_replace(F.col(f"`{score}`"), r"[^\d.-]", "").try_cast("double"), F.lit(0.0))
+    return df.select(F.regexp_replace(F.trim(F.col(f"`{rid}`")), r"\.pdf$", "").alias("resume_id"), value.alias("match_percent")).where("resume_id <> ''")
 
 
 def overall_metrics(spark: SparkSession, path: str) -> DataFrame | None:
     """A metrics file, or of a folder `overall_metrics_true.csv`, else `overall_metrics.csv`; none if neither is there."""
-    tries = [path] if os.path.isfile(path) else [os.path.join(path, n) for n in ("overall_metrics_true.csv", "overall_metrics.csv")]
-    hit = next((p for p in tries if os.path.isfile(p)), None)
+    tries = [path] if path.lower().endswith(".csv") else [f"{path.rstrip('/')}/{n}" for n in ("overall_metrics_true.csv", "overall_metrics.csv")]
+    hit = next((p for p in tries if files_below(spark, p)), None)
     return read_table(spark, hit) if hit else None
 
 
@@ -76,8 +88,11 @@ def fairness_values(df: DataFrame) -> DataFrame:
     key = resolve(df, ["key", "metric", "name"])
     val = resolve(df, ["value", "val", "overall"])
     cols = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    number = lambda c: F.coalesce(c.try_cast("double"), number_in_text(c))
     if key and val:
-        return df.select(F.col(f"`{key}`").cast("string").alias("key"), number_in_text(F.col(f"`{val}`").cast("string")).alias("value"))
-    if len(cols) == 1:
-        return df.select(F.trim(F.regexp_extract(cols[0], r"^([^:=\d]*)", 1)).alias("key"), number_in_text(cols[0]).alias("value"))
-    return df.select(cols[0].alias("key"), F.coalesce(*[c.try_cast("double") for c in cols[1:]]).alias("value"))
+        found = df.select(F.col(f"`{key}`").cast("string").alias("key"), number(F.col(f"`{val}`").cast("string")).alias("value"))
+    elif len(cols) == 1:
+        found = df.select(F.trim(F.regexp_extract(cols[0], r"^([^:=\d]*)", 1)).alias("key"), number_in_text(cols[0]).alias("value"))
+    else:
+        found = df.select(cols[0].alias("key"), F.coalesce(*[c.try_cast("double") for c in cols[1:]]).alias("value"))
+    return found.where("value IS NOT NULL AND trim(key) <> ''")

@@ -124,7 +124,7 @@ def test_job_cleaning_order(spark):
     long_ = "x" * 60
     df = spark.createDataFrame([(1, "7", "short", None), (2, "7", long_, "skill"), (3, "7", long_ + "late", None), (4, "", long_, None), (5, None, long_, None), (6, "8", None, None), (7, "9", "<b>" + long_ + "</b>&amp;", "")], "row_num long, job_id string, description string, skills_desc string")
     out = rows(text.clean_jobs(df, keep=("job_id", "description")), "job_id", "description")
-    assert out == sorted([("7", long_ + " skill"), ("", long_), ("", long_), ("9", long_ + " &")], key=str)
+    assert out == sorted([("7", long_ + " skill"), ("", long_), ("", long_), ("9", long_ + "&")], key=str)
     c = text.job_cleaning_counts(df).first()
     assert (c.rows_in, c.dropped_empty, c.dropped_short, c.deduped, c.rows_out) == (7, 1, 1, 1, 4)
 
@@ -137,6 +137,11 @@ def test_csv_dialects(spark, tmp_path):
         p = tmp_path / f"{name}.csv"
         p.write_text(body, encoding="utf-8")
         assert rows(source.read_table(spark, str(p)), "ID", "T", "C") == want, name
+    p = tmp_path / "all.csv"
+    p.write_text('ID,T,C\n1,a,b\nID,T,C\n2,c,d,e,f\n3,it is 5" wide,x\n4,"q"tail,y\n\n5,"open\nrest,1\n6,z,z\n')
+    good, bad = source.read_with_rejects(spark, str(p), key="ID")
+    assert rows(good, "_row_index", "ID", "T", "C", "_surplus") == [(0, "1", "a", "b", []), (1, "ID", "T", "C", []), (2, "2", "c", "d", ["e", "f"]), (3, "3", 'it is 5" wide', "x", []), (4, "4", "qtail", "y", [])]
+    assert rows(bad, "which", "row_index", "id_if_any", "reason") == [("all.csv", 6, "5", "unclosed quote")]
     good, bad = source.read_with_rejects(spark, str(tmp_path / "nowhere.csv"))
     assert good.count() == 0 and bad.count() == 1
     (tmp_path / "r.csv").write_text("job_id,resume_id,score,similarity,rank\n1,2,,0.5,x\n1,,1,1,1\n 3 ,4,bad,0.9,2\n")
@@ -146,6 +151,41 @@ def test_csv_dialects(spark, tmp_path):
     assert rows(source.skill_dictionary(spark, [(str(tmp_path / "s.txt"), ["Example", "Element Name"]), (str(tmp_path / "rel.csv"), ["related*", "skill"])]), "skill") == [("go",), ("java",), ("x",)]
 
 
+def test_csv_of_many_blocks_equals_a_plain_reader(spark, tmp_path):
+    """Records with quoted line breaks, read in blocks of a few bytes, against Python's reader."""
+    import csv as plain
+    import random
+
+    rng = random.Random(5)
+    want = [[str(i), "".join(rng.choice(['a', ',', '"', "\n", "é", " "]) for _ in range(rng.randint(0, 40))), rng.choice(["", "x", '"'])] for i in range(400)]
+    with open(tmp_path / "big.csv", "w", newline="", encoding="utf-8") as f:
+        plain.writer(f, lineterminator="\n").writerows([["ID", "T", "C"], *want])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        good, bad = source.read_with_rejects(spark, str(tmp_path / "big.csv"))
+        got = sorted(((r["_row_index"], [r.ID, r.T, r.C]) for r in good.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == list(enumerate(want)) and bad.count() == 0
+
+
+def test_detection_of_dialects():
+    assert source.detect([]) == (",", False) and source.detect(["plain"]) == (",", False) and source.detect(["sep=\\t"]) == ("\t", True) and source.detect(["sep=|"]) == ("|", True)
+    assert source.detect(['a;b;c', '1;"x,y,z";2', '3;"p', 'q";4']) == (";", False) and source.detect(["a,b|c", "1,2|3|4"]) == (",", False)
+    assert source.parse_header('"a ""b""",c , c,', ",") == ['a "b"', "c", "c_2", ""]
+
+
+def test_manifest(spark, tmp_path):
+    import hashlib
+    import json
+
+    (tmp_path / "in.txt").write_text("abc")
+    source.write_manifest(spark, str(tmp_path / "m"), spark.createDataFrame([("nodes", 3)], "name string, value int"), [str(tmp_path / "in.txt")], top_k=10)
+    made = json.loads(next((tmp_path / "m").glob("*.json")).read_text())
+    assert made["facts"] == {"nodes": "3", "top_k": "10"} and made["inputs"] == [{"file": "in.txt", "bytes": 3, "sha256": hashlib.sha256(b"abc").hexdigest()}] and made["written_at"].endswith("Z")
+
+
 def test_csv_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("1", 'a "q", b\nc', 0.123456789, None)], "id string, t string, s double, n string")
     source.write_csv(df.coalesce(1), str(tmp_path / "out"))
@@ -172,9 +212,10 @@ def test_graph_basics(spark):
 def test_propagation_keeps_root_degrees(spark):
     edges = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("c", "y")], "src string, dst string")
     d = graph.degrees(edges)
-    x0 = d.select("node", F.lit(0).alias("dim"), F.sqrt("degree").alias("x"))
-    got = {r.node: r.x for r in graph.propagate(graph.adjacency(edges), x0, 3).collect()}
-    assert got == {r.node: round(math.sqrt(r.degree), 6) for r in d.collect()}
+    x0 = d.select("node", F.array(F.sqrt("degree")).alias("vec"))
+    got = {r.node: r.x for r in graph.propagate(graph.adjacency(edges), x0, 1, 3).collect()}
+    hubs = {r.node: round(r.vec[0], 6) for r in graph.propagated(graph.adjacency(edges), x0, 1, 3, small=False).collect()}
+    assert hubs == got == {r.node: round(math.sqrt(r.degree), 6) for r in d.collect()}
 
 
 @pytest.mark.parametrize("pq", [(1.0, 1.0), (0.5, 2.0)])
@@ -193,8 +234,65 @@ def test_negatives_are_not_linked(spark):
 
 def test_lightgcn_lowers_the_loss(spark):
     pos = spark.createDataFrame([(f"j{i}", f"r{k}") for i in range(6) for k in range(6) if i % 2 == k % 2], "job_id string, resume_id string")
-    x, losses = gnn.lightgcn(pos, dims=4, hops=2, steps=3, rate=1.0)
-    assert x.count() == 12 * 4 and losses[-1] < losses[0]
+    x, losses = gnn.lightgcn(pos, dims=4, hops=2, epochs=3, rate=0.1)
+    assert x.count() == 12 and losses[-1] < losses[0]
+
+
+def test_training_stops_early_with_the_best_state(spark):
+    pos = spark.createDataFrame([(f"j{i}", f"r{k}") for i in range(4) for k in range(6) if i % 2 == k % 2], "job_id string, resume_id string")
+    lab = pos.withColumn("y", F.lit(1)).unionByName(spark.createDataFrame([("j0", "r1", 0), ("j9", "r0", 1)], "job_id string, resume_id string, y int"))
+    _, losses = gnn.lightgcn(pos, lab, dims=4, hops=1, epochs=9, rate=0.0, every=1, patience=2)
+    assert len(losses) == 2  # the first value, then two without gain
+    x, losses = gnn.graphsage(pos, lab, dims=4, steps=9, rate=0.0, every=1, patience=1)
+    assert len(losses) == 2 and x.count() == 10
+    s = gnn.Stopper(2)
+    assert [s.done(v, v) for v in (1.0, 2.0, 1.5, 2.0)] == [False, False, False, True] and s.state == 2.0
+
+
+def test_validation_against_brute_force(spark):
+    x = spark.createDataFrame([("job_1", [1.0, 0.0]), ("resume_a", [1.0, 0.1]), ("resume_b", [0.5, 0.5]), ("resume_c", [0.0, 1.0])], "node string, vec array<double>")
+    val = spark.createDataFrame([("1", "a", 0), ("1", "b", 1), ("1", "c", 1), ("2", "a", 1)], "job_id string, resume_id string, y int")
+    assert gnn.validate(x, val) == pytest.approx((1 / 2 + 2 / 3) / 2) and gnn.validate(x, val.limit(0)) == 0.0
+
+
+def test_every_positive_has_its_own_negative(spark):
+    pos = spark.createDataFrame([("j", "r1"), ("j", "r2"), ("k", "r3")], "job_id string, resume_id string")
+    index = graph.int_index(spark.createDataFrame([(f"r{i}",) for i in range(40)], "resume_id string"), "resume_id")
+    t = gnn.triples_of(pos, index, 40, 100, 1).collect()
+    assert len(t) == 3 and len({r.n for r in t}) > 1 and not any((r.u[4:], r.n[7:]) in {("j", "r1"), ("j", "r2"), ("k", "r3")} for r in t)
+
+
+def test_missing_parts_and_cached_graphs(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    sk = spark.createDataFrame([("1", ["a"]), ("1", ["a"])], "id string, skills array<string>")
+    nodes, edges = graph.graph_of_cached(ids("1", "2", None), ids("9"), sk, sk.limit(0))
+    assert rows(nodes, "node") == [("job_9",), ("resume_1",), ("resume_2",), ("skill_a",)] and edges.count() == 1
+    assert rows(graph.without_embeddings(nodes, edges.select(F.col("src").alias("node"))), "which", "id") == [("job", "9"), ("resume", "2")]
+    pairs = spark.createDataFrame([("j", "r", "f", 0.5), ("j", "s", "f", -0.25), ("k", "r", "f", 9.0)], "job_id string, resume_id string, feature string, shap double")
+    assert rows(report.shap_of_job(pairs, "j"), "feature", "mean_abs_shap") == [("f", 0.375)] and rows(report.shap_of_pair(pairs, "j", "s"), "shap") == [(-0.25,)]
+    assert fairness.tpr_difference(spark.createDataFrame([("a", 0.5), ("b", None)], "`group` string, tpr double")).first().tpr_diff == 0.0
+
+
+def test_frequent_keys_are_joined_apart(spark):
+    from pairloom.session import frequent_join
+
+    fact = spark.createDataFrame([("hot", i) for i in range(50)] + [("x" * 300, 1), ("y", 2), (None, 3), ("none", 4)], "k string, v int")
+    side = spark.createDataFrame([("hot", 50, "a"), ("x" * 300, 1, "b"), ("y", 1, "c"), ("unused", 0, "d")], "k string, n long, w string")
+    want = rows(fact.join(side, "k"), "k", "v", "w")
+    assert rows(frequent_join(fact, side, "k", "n", rows=0, frequent=1), "k", "v", "w") == want == rows(frequent_join(fact, side, "k", "n"), "k", "v", "w")
+
+
+def test_html_in_the_parser_form():
+    t = text.html_to_text
+    assert t("a<hr>b") == "a b" and t("a<table>b") == "ab" and t("x<b>y</b>z &amp;amp; q") == "xyz & q" and t(None) is None and t("") == ""
+    assert t("a<script>p<p>q</script>b") == "ab" and t("<style>x</style>y<!-- c -->z</script>w") == "yzw" and t("&lt;div&gt;a&lt;/div&gt;b") == "a b"
+    assert t("<template>a<p>b</template>c<noscript>d</noscript>") == "c"
+
+
+def test_character_references(spark):
+    cases = ["&nbsp;x", "&eacute;&#233;&#xE9;&#x1F600;", "a & b &unknown; &amp;lt;", "&#0;", None, "&", "&;", "&CounterClockwiseContourIntegral;"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").select("i", text.unescaped(F.col("t")).alias("u"))
+    assert [r.u for r in df.orderBy("i").collect()] == ["\xa0x", "ééé😀", "a & b &unknown; &lt;", "\ufffd", None, "&", "&;", "∳"]
 
 
 def test_bpr_and_vectors(spark):
@@ -247,12 +345,12 @@ def test_scans(spark, tmp_path):
     from pairloom.sources import scans
 
     (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "train.csv").write_text('Filename,Match %\nx.PDF,"81,5 %"\ny,bad\n')
+    (tmp_path / "a" / "train.csv").write_text('Filename,Match %\nx.pdf,"81,5 %"\ny,bad\n')
     (tmp_path / "a" / "other.csv").write_text("id,score\n1,2\n")
     (tmp_path / "a" / "none.csv").write_text("p,q\n1,2\n")
-    best = scans.find_mapping(str(tmp_path))
-    assert best.endswith("train.csv") and scans.find_mapping(str(tmp_path / "missing")) is None
-    (tmp_path / "m.csv").write_text("resume_id,score\nx.PDF,81.5 %\ny,bad\n")
+    best = scans.find_mapping(spark, str(tmp_path))
+    assert best.endswith("train.csv") and scans.find_mapping(spark, str(tmp_path / "missing")) is None
+    (tmp_path / "m.csv").write_text("resume_id,score\nx.pdf,81.5 %\ny,bad\n")
     assert rows(scans.match_pairs(spark, str(tmp_path / "m.csv")), "resume_id", "match_percent") == [("x", 81.5), ("y", 0.0)]
     assert scans.overall_metrics(spark, str(tmp_path)) is None
     (tmp_path / "overall_metrics.csv").write_text("source,p_at_10\ntfidf,0.5\n")
