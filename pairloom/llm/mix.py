@@ -28,11 +28,17 @@ def name_of(c):
     return F.lower(F.regexp_replace(c, r"(?U)\A\s+|\s+\z", ""))
 
 
-def sizes(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, _rid, src, tokens) of the documents of listed sources, sizes in tokens of the public tokenizer; null and empty texts have size 0."""
+def sizes(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """(doc_id, _rid, src, tokens) of the documents of listed sources, sizes in tokens of the public tokenizer; null and empty texts have size 0.
+
+    _rid is a digest of seed, doc_id, size and, where such rows repeat, their number: it does not depend on partitions.
+    """
     listed = targets.select(name_of(F.col("source")).alias("src")).where("src IS NOT NULL").distinct()
-    rows = docs.select("doc_id", "text", name_of(F.col("source")).alias("src")).withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(small_side(listed), "src", "left_semi").select("doc_id", "_rid", "src", F.pandas_udf(token_counts, "long")("text").alias("tokens"))
+    rows = docs.select("doc_id", "text", name_of(F.col("source")).alias("src"))
+    sized = rows.join(small_side(listed), "src", "left_semi").select("doc_id", "src", F.pandas_udf(token_counts, "long")("text").alias("tokens"))
+    copies = sized.groupBy("doc_id", "src", "tokens").agg(F.count("*").alias("n")).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BUCKET))))
+    copies = copies.withColumn("nr", F.explode(F.sequence(F.col("block") * BUCKET + 1, F.least("n", (F.col("block") + 1) * BUCKET))))
+    return copies.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "tokens", "nr").alias("_rid"), "src", "tokens")
 
 
 def pivot(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -64,8 +70,8 @@ def pivot(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def _round(seed: int, last: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_rid"], kind="stable")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_rid", "doc_id", "tokens"], kind="stable")
         h = pd.util.hash_pandas_object(pd.Series([f"{seed}|{'|'.join(map(str, key))}"]), index=False)[0]
         rng = np.random.default_rng(int(h))
         p = pivot(pdf["tokens"].to_numpy(float), pdf["p"].to_numpy(float), rng)
@@ -91,9 +97,10 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 42, bucket: int = BUC
 
     Documents of unlisted or null sources and those of size 0 are never chosen. A source listed twice has its shares summed
     and the higher cap. A source whose cap does not allow its share gives all it can, and the report shows the shortfall;
-    nothing is moved to other sources. Repeated rows are documents of their own. The choice depends on the seed only.
+    nothing is moved to other sources. Repeated rows are documents of their own. The choice depends on the documents and the
+    seed only, not on partitions or their order.
     """
-    sized = cut(sizes(docs, targets))
+    sized = cut(sizes(docs, targets, seed))
     goal = cut(plan(sized, targets))
     rows = sized.where("tokens > 0").join(small_side(goal.select("src", "copies")), "src").withColumn("base", F.floor(F.col("copies") + EPS).cast("int")).withColumn("p", F.greatest(F.col("copies") - F.col("base"), F.lit(0.0)))
     most = goal.agg(F.max("docs")).first()[0] or 0
