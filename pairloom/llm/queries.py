@@ -91,6 +91,19 @@ d AS (SELECT term, count(*) AS d FROM f GROUP BY term HAVING count(*) >= 2),
 n AS (SELECT count(*) AS n FROM (SELECT DISTINCT table_name, row_num FROM f)),
 s AS (SELECT table_name, row_num, term, round(f * ln(n / CAST(d AS DOUBLE)), 6) AS s FROM f JOIN d USING (term), n)
 SELECT table_name, row_num, term FROM s QUALIFY row_number() OVER (PARTITION BY table_name, row_num ORDER BY s DESC, term) = 1""",
+    "p6_graph_terms": r"""
+WITH t AS (SELECT 'resume_clean' AS table_name, row_num, Resume_str AS x FROM resume_clean UNION ALL SELECT 'postings_clean', row_num, description FROM postings_clean),
+k AS (SELECT table_name, row_num, regexp_extract_all(lower(x), '[\p{L}\p{N}_]{2,}') AS ts FROM t WHERE x IS NOT NULL),
+w AS (SELECT table_name, row_num, unnest(ts) AS term, generate_subscripts(ts, 1) AS p FROM k WHERE len(ts) > 0),
+e AS (SELECT a.table_name, a.row_num, a.term AS x, b.term AS y FROM w a JOIN w b ON a.table_name = b.table_name AND a.row_num = b.row_num AND b.p = a.p + 1
+  UNION ALL SELECT a.table_name, a.row_num, a.term, b.term FROM w a JOIN w b ON a.table_name = b.table_name AND a.row_num = b.row_num AND b.p = a.p + 2),
+g AS (SELECT table_name, row_num, x AS term, count(DISTINCT y) AS degree FROM (SELECT table_name, row_num, x, y FROM e UNION ALL SELECT table_name, row_num, y, x FROM e) WHERE x <> y GROUP BY ALL),
+f AS (SELECT DISTINCT table_name, row_num, term FROM w),
+d AS (SELECT term, count(*) AS d FROM f GROUP BY term HAVING count(*) >= 2),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT table_name, row_num FROM f)),
+s AS (SELECT table_name, row_num, term, round(coalesce(degree, 0) * ln(n / CAST(d AS DOUBLE)), 6) AS score FROM f JOIN d USING (term) LEFT JOIN g USING (table_name, row_num, term), n)
+SELECT table_name, row_num, term, score, CAST(row_number() OVER (PARTITION BY table_name, row_num ORDER BY score DESC, term) AS INTEGER) AS place FROM s
+QUALIFY row_number() OVER (PARTITION BY table_name, row_num ORDER BY score DESC, term) <= 5""",
     "p7_found": """
 WITH m AS (SELECT job_id, resume_id, max(score) AS s FROM job_to_resumes_top10_tfidf
   WHERE job_id IS NOT NULL AND resume_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)

@@ -1,42 +1,40 @@
 """Top N items within every group, also where one group holds most rows (problem 7).
 
-Method: within each input partition the N-th best distinct item of a group is a valid bound for that group's N-th best
-overall. The best of these bounds is joined to the rows, which drops most rows of large groups before any shuffle; the
-survivors are ranked. At most N items per partition and group survive, apart from repeats of the same item.
+Method: partition lower bounds. Within each input partition the items of a group are spread over slices by a hash; the best
+item of each slice is distinct from the others', so the N-th best of them bounds the group's N-th best overall. The best
+bound of all partitions is joined to the rows and drops most rows of large groups before any shuffle; survivors are ranked.
+
+Bounds are made only for groups with several times N rows a partition, where they drop most rows. These are at most
+FREQUENT groups, so they are always broadcast; any other group has few rows in each partition or at most one in FREQUENT of
+all rows, and is ranked as it is. All steps are in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairloom.session import cut, small_side
+from pairloom import session
+from pairloom.session import cut
 
+#: A group gets bounds from this many times N rows a partition on average; its items are spread over this many times N slices.
+LARGE, SLICES = 2, 4
 
-def _bounds(n: int):
-    """For each partition, the N-th best distinct (group, item) by descending score, then ascending item; keeps at most N items per group."""
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["g", "s", "i"], ascending=[True, False, True], kind="stable").drop_duplicates(["g", "i"])
-        return pdf[pdf.groupby("g", sort=False).cumcount() < n]
+def large_groups(rows: DataFrame, n: int, frequent: int = session.FREQUENT) -> DataFrame:
+    """(g) of the groups worth a bound, at most `frequent`, with keys of bounded length."""
+    counts = cut(rows.groupBy("g").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where((F.col("n") > max(LARGE * n * rows.rdd.getNumPartitions(), total // frequent)) & (F.octet_length("g") <= session.FREQUENT_BYTES)).orderBy(F.col("n").desc(), "g").limit(frequent).select("g")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, waiting, rows = None, [], 0
-        for pdf in batches:
-            waiting.append(pdf)
-            rows += len(pdf)
-            if rows >= 100_000:
-                kept, waiting, rows = best(pd.concat(([] if kept is None else [kept]) + waiting)), [], 0
-        if waiting:
-            kept = best(pd.concat(([] if kept is None else [kept]) + waiting))
-        if kept is not None:
-            yield kept[kept.groupby("g", sort=False).cumcount() == n - 1]
 
-    return run
+def bounds(rows: DataFrame, large: DataFrame, n: int) -> DataFrame:
+    """(g, bs, bi): negated score and item that at least n items of the group reach; groups without such are left out."""
+    own = rows.join(F.broadcast(large), "g").select("g", F.spark_partition_id().alias("p"), F.pmod(F.xxhash64("i"), F.lit(SLICES * n)).alias("slice"), F.struct((-F.col("s")).alias("ns"), "i").alias("x"))
+    best = own.groupBy("g", "p", "slice").agg(F.min("x").alias("x"))  # at most SLICES * n a partition and group leave the map side
+    local = best.groupBy("g", "p").agg(F.get(F.array_sort(F.collect_list("x")), F.lit(n - 1)).alias("b")).where("b IS NOT NULL")
+    return local.groupBy("g").agg(F.min("b").alias("b")).select("g", F.col("b.ns").alias("bs"), F.col("b.i").alias("bi"))
 
 
 def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, place: str = "place") -> DataFrame:
@@ -47,9 +45,8 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, place:
     df are ignored, whatever their names. Very long keys are compared whole.
     """
     rows = df.select(F.col(f"`{group}`").cast("string").alias("g"), F.col(f"`{item}`").cast("string").alias("i"), (F.col(f"`{score}`").cast("double") + F.lit(0.0)).alias("s")).where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)")
-    local = rows.mapInPandas(_bounds(n), "g string, i string, s double")
-    bounds = cut(local.groupBy("g").agg(F.min(F.struct((-F.col("s")).alias("ns"), F.col("i").alias("bi"))).alias("b")).select("g", F.col("b.ns").alias("bs"), F.col("b.bi").alias("bi")))
-    left = rows.join(small_side(bounds), "g", "left").where("bs IS NULL OR -s < bs OR (-s = bs AND i <= bi)")
+    limits = cut(bounds(rows, large_groups(rows, n), n))  # at most FREQUENT rows
+    left = rows.join(F.broadcast(limits), "g", "left").where("bs IS NULL OR -s < bs OR (-s = bs AND i <= bi)")
     once = left.groupBy("g", "i").agg(F.max("s").alias("s"))
     w = W.partitionBy("g").orderBy(F.col("s").desc(), F.col("i").asc())
     return once.withColumn(place, F.row_number().over(w)).where(F.col(place) <= n).select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), place)

@@ -53,8 +53,9 @@ def test_empty_tables(spark):
     assert chosen.count() == 0 and mix.shares(chosen, goal).first().reached_tokens == 0
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_top_n_against_brute_force(spark, parts):
+@pytest.mark.parametrize("parts,large", [(1, 2), (7, 2), (7, 0)])
+def test_top_n_against_brute_force(spark, parts, large, monkeypatch):
+    monkeypatch.setattr(topn, "LARGE", large)
     rng = np.random.default_rng(3)
     rows = []
     for _ in range(6000):
@@ -123,5 +124,28 @@ def test_mix_reaches_its_shares(spark, bucket):
     assert abs(got["a"].reached_tokens - got["a"].target_tokens) <= 5
     assert abs(got["b"].reached_tokens - min(got["b"].target_tokens, 2 * got["b"].available_tokens)) <= 5
     assert got["none"].reached_tokens == 0 and max(r.copies for r in chosen.collect()) <= 2
-    again, _ = mix.mixed(docs, targets, bucket=bucket)
-    assert sorted(chosen.collect()) == sorted(again.collect())
+    for parts in (1, 7):
+        again, _ = mix.mixed(docs.orderBy(F.rand(parts)).repartition(parts), targets, bucket=bucket)
+        assert sorted(chosen.collect()) == sorted(again.collect())
+    other, _ = mix.mixed(docs, targets, seed=7, bucket=bucket)
+    assert sorted(chosen.collect()) != sorted(other.collect())
+
+
+def test_mix_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "one two", "a")] * 40 + [(None, "x", "a")] * 3, "doc_id long, text string, source string")
+    chosen, goal = mix.mixed(docs, spark.createDataFrame([("a", 0.5, 1)], "source string, target_share double, max_repeats int"))
+    r = mix.shares(chosen, goal).first()
+    assert abs(r.reached_tokens - r.target_tokens) <= 2 and chosen.count() == sum(1 for x in chosen.collect() if x.copies == 1)
+
+
+@pytest.mark.parametrize("name", ["p6_found", "p6_graph_terms", "p7_found"])
+def test_same_rows_by_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("resume_clean", "postings_clean", "job_to_resumes_top10_tfidf"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    rel = con.execute(queries.ORACLE[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(map(repr, ({c: r[c] for c in sorted(df.columns)} for r in df.collect()))) == sorted(repr({c: v for c, v in sorted(zip(names, r))}) for r in rel.fetchall())
