@@ -16,8 +16,8 @@ from pairloom.session import cut, stored as stored_table, table
 
 ATTRIBUTES = ["Gender", "Ethnicity"]
 DIMS = 4
-#: Epochs of the learning queries at most; early stopping may end them sooner.
-EPOCHS = 4
+#: Epochs and dimensions of the learning queries; the operators' own defaults are the reference's 50 and 64 (see README).
+EPOCHS, LEARNT_DIMS = 2, 16
 
 
 def resumes(spark, d):
@@ -293,13 +293,13 @@ def node2vec_topk(spark, d, forward=True):
 
 def lightgcn_topk(spark, d, forward=True):
     """By LightGCN with validation on labelled jobs and early stopping."""
-    v = _trained(spark, d, "lightgcn", lambda: gnn.lightgcn(pairs(spark, d), labels(spark, d), epochs=EPOCHS)[0])
+    v = _trained(spark, d, "lightgcn", lambda: gnn.lightgcn(pairs(spark, d), labels(spark, d), dims=LEARNT_DIMS, epochs=EPOCHS)[0])
     return _learnt_topk(spark, d, v, forward).withColumn("source", F.lit("lightgcn"))
 
 
 def graphsage_topk(spark, d, forward=True):
     """By GraphSAGE with validation on labelled jobs and early stopping."""
-    v = _trained(spark, d, "graphsage", lambda: gnn.graphsage(pairs(spark, d), labels(spark, d), steps=EPOCHS)[0])
+    v = _trained(spark, d, "graphsage", lambda: gnn.graphsage(pairs(spark, d), labels(spark, d), dims=LEARNT_DIMS, steps=EPOCHS)[0])
     return _learnt_topk(spark, d, v, forward).withColumn("source", F.lit("graphsage"))
 
 
