@@ -33,6 +33,8 @@ UTF8_READ_AS = ("cp1252", "latin-1", "cp1250", "cp437", "cp850", "mac_roman", "g
 SINGLE_BYTE = (("cp1252", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp866", "cp1251"), ("koi8-r", "cp1251"), ("cp1252", "cp1253"), ("cp437", "cp1251"), ("cp437", "koi8-r"), ("mac_roman", "cp1251"), ("cp1252", "cp1250"))
 #: Costs in bytes of saying which chain was used.
 COST = {"utf8": 0.5, "single": 6.0, "lost": 3.0}
+#: More for a pair whose both sides are Latin letters: a right word then has another plausible reading too, so several words must agree.
+LATIN_PAIR, LATIN_WORDS = 3.0, 2
 UNDEFINED_1252 = "\x81\x8d\x8f\x90\x9d"
 #: Characters whose UTF-8 form has two control bytes after 0xE2 when read as Latin-1.
 LOST_QUOTES = "’“”–—‘"
@@ -214,13 +216,16 @@ def restore(text: str, d: Describer) -> tuple[str, list[str], bool]:
                 kind = chain.split(":")[0].rpartition("+")[2]
                 if kind == "single" and sum(c.isalpha() for r in change.values() for c in r) < 3:
                     continue
+                latin = chain.endswith("cp1250") and kind == "single"
+                if latin and len(change) < LATIN_WORDS:
+                    continue
                 new = WORD.sub(lambda x, change=change: change.get(x[0], x[0]), now)
                 if least is None:
                     before = d.length(now)
                     least = before
                 # valid UTF-8 hardly arises by chance, which is worth a byte for each of its first two sequences
                 luck = min(2, sum(ord(c) >= 0x80 for r in change.values() for c in r)) if kind == "utf8" else 0
-                n = d.length(new) + COST[kind] - luck
+                n = d.length(new) + COST[kind] + LATIN_PAIR * latin - luck
                 if n < least:
                     best, least = (chain, new), n
             if best is None:
@@ -252,12 +257,12 @@ def train(samples: dict[str, list[str]], size: int = DICT_BYTES) -> dict[str, by
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", fit_documents: int = FIT_DOCUMENTS) -> dict[str, bytes]:
-    """Trains on about fit_documents rows, chosen by a hash of the text; only these come to the driver."""
+    """Trains on about fit_documents rows, chosen by a hash of the text, each distinct text once; only these, at most twice as many, come to the driver."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.lower(F.trim(lang)).alias("l"), F.substring(F.col(text), 1, FIT_CHARS).alias("t"))
     n = rows.count()
     share = min(1.0, fit_documents / max(n, 1))
     samples = defaultdict(list)
-    for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * fit_documents).toLocalIterator():
+    for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).distinct().orderBy(F.xxhash64(F.lit(1), "t"), "t", "l").limit(2 * fit_documents).toLocalIterator():
         samples[r.l].append(r.t)
     return train(samples)
 
