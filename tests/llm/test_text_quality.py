@@ -237,6 +237,24 @@ def test_sentence_model_counts_every_document_whole(spark, monkeypatch):
         assert c["n", "N", ""][1] == pytest.approx((6_000 + 15 - 1 - 5 + 60_000) * scale, rel=0.001)
 
 
+def test_sentences_do_not_hang_on_a_limit_of_words(spark, monkeypatch):
+    """The same sentences whether the input is over SCALE_WORDS or not, from the tables as from the model handed out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = []
+    for limit in (10**9, 2_000):
+        monkeypatch.setattr(sentences, "SCALE_WORDS", limit)
+        got += [sorted(map(tuple, sentences.sentences(docs, model=m).collect())) for m in (None, sentences.fit(docs))]
+    assert got[0] == got[1] == got[2] == got[3]
+
+
+def test_pairs_of_words_do_not_outvote_events():
+    """However often a pair stands around a gap, events after its left word keep it from being taken for the inside of a sentence."""
+    for n in (100, 100_000):
+        c = {("e0", "x.", ""): (0.9 * n, n), ("e1", "late.", ""): (0.9 * n, n), ("e2", "was", "late."): (0.9 * n, n), ("n", "S", ""): (0, 100 * n), ("n", "N", ""): (0, 2000 * n), ("s1", "Then", ""): (0, n), ("s2", "L", ""): (0, 100 * n), ("s2", "L", "Then"): (0, n)}
+        c |= {("b1", "late.", ""): (0.9 * n, 0.1 * n), ("b1", "late.", "Then"): (0, 0.02 * n), ("b0", "x.", ""): (0.9 * n, 0.1 * n)}
+        assert sentences.Model(c).posteriors([(0, 1, "was", "late.", "Then", None)])[0] > 0.7
+
+
 def test_gaps_take_linear_time():
     import time
 
