@@ -274,6 +274,27 @@ def test_a_sentence_may_begin_with_a_dot():
     assert [(text[a:b], nxt) for a, b, _, _, nxt, _ in sentences.gaps(text, 0, 0, len(text))] == [(" ", ".NET"), ("", "")]
 
 
+@pytest.mark.parametrize("parts", [["Ես աշխատում եմ։", "Նա գալիս է։"], ["እኔ ተማሪ ነኝ።", "እሱ መምህር ነው፧", "አዎ።"], ["ကျွန်တော် သွားမယ်။", "သူ လာမယ်။"], ["ខ្ញុំទៅ។", "គាត់មក។"], ["どうぞ⁉", "Apply now‼", "今すぐ。"]])
+def test_stops_of_every_script_have_gaps(model, parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences.split(text, model)] == parts
+
+
+def test_gaps_before_any_sign():
+    for nxt in ("'Not yet,' she said.", "’Tis late.", "‚Ja‘, sagte er.", "§ 5 applies.", "· More.", "† Dead.", "*New* stock.", "‐ x"):
+        text = "He left. " + nxt
+        assert [text[n:] for e, n, _, _, _, sure in sentences.gaps(text, 0, 0, len(text)) if e == 8 and sure is None] == [nxt]
+    for nxt in (", Mr. X", ") and", "; then", "… so"):
+        text = "etc. " + nxt
+        assert not [e for e, n, *_ in sentences.gaps(text, 0, 0, len(text)) if text[n:] == nxt]
+
+
+def test_a_unit_ends_with_all_its_stops():
+    for end in ("." * 40, "!" * 20 + "”" * 20, "." + ")" * 30):
+        text = "We stopped" + end
+        assert [g[3:] for g in sentences.gaps(text, 0, 0, len(text))] == [(sentences.norm("stopped" + end), "", 1)]
+
+
 def test_scripts_without_case(model):
     parts = ["نبحث عن موظف لديه خبرة لا تقل عن 29 سنوات.", "نبحث عن موظف لديه خبرة لا تقل عن 20 سنوات.", "قدم د. Ulberello خطاب التوصية في 2014."]
     text = " ".join(parts)
